@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, mixing, packing, quality
+from . import chat, common, licenses, minhash, mixing, packing, quality, secrets
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.tune(spark)
+    fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return docs.mapInArrow(common.per_text(secrets.digest, fields, ["doc_id"]), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+#: The conversation that op4 adds to the table: its text holds the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_digests(chat.format_rows(rows.unionByName(added)))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.tune(spark)
+    fields = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.string())]
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
+    return docs.mapInArrow(common.per_text(licenses.scan, fields, ["doc_id"]), schema)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
