@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, licenses, minhash, mixing, packing, quality, secrets
+from . import chat, common, licenses, minhash, mixing, packing, quality, secrets, spotsigs
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(common.per_text(licenses.scan, fields, ["doc_id"]), schema)
 
 
+def op5_spotsigs_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(common.documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -62,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_spotsigs_fingerprint": spotsigs.oracle()}
