@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, licenses, minhash, mixing, packing, quality, secrets, spotsigs, toxicity
+from . import chat, common, licenses, maxent, minhash, mixing, packing, quality, secrets, spotsigs, toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_spotsigs_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(common.documents(spark, sf_dir))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(common.documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
