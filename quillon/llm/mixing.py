@@ -84,17 +84,30 @@ def solve_duals(counts: DataFrame, sources: list[dict]) -> list[float]:
     return lam
 
 
+def whole_copies(size: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Whole copies of documents sorted by falling size, whose words come near the sum of rate times size.
+
+    The rounding error is carried on. A number of copies is taken only if the smaller documents can
+    still make up for it (none of them, or MAX_COPIES of each); else the one that leaves least.
+    """
+    want = rate * size
+    later, room = np.append(np.cumsum(want[::-1])[::-1][1:], 0.0), MAX_COPIES * np.append(np.cumsum(size[::-1])[::-1][1:], 0.0)
+    copies, carry = np.zeros(len(size), np.int32), 0.0
+    for k in range(len(size)):
+        if size[k] > 0:
+            now = want[k] + carry
+            best = math.floor(now / size[k] + 0.5)
+            if not (0 <= best <= MAX_COPIES and 0 <= now - best * size[k] + later[k] <= room[k]):
+                left = lambda c: now - c * size[k] + later[k]  # noqa: B023, E731
+                best = min(range(MAX_COPIES + 1), key=lambda c: (max(0.0, -left(c), left(c) - room[k]), abs(now - c * size[k])))  # noqa: B023
+            copies[k] = best
+            carry = now - best * size[k]
+    return copies
+
+
 def _round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies, the error carried from the largest document to the smallest."""
     pdf = pdf.sort_values(["size", "_tie", "_row"], ascending=[False, True, True], kind="stable")
-    size, rate = pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy(np.float64)
-    copies, carry = np.zeros(len(pdf), np.int32), 0.0
-    for k in range(len(pdf)):
-        if size[k] > 0:
-            want = rate[k] * size[k] + carry
-            copies[k] = min(MAX_COPIES, max(0, math.floor(want / size[k] + 0.5)))
-            carry = want - copies[k] * size[k]
-    return pd.DataFrame({"_row": pdf["_row"], "copies": copies})
+    return pd.DataFrame({"_row": pdf["_row"], "copies": whole_copies(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy(np.float64))})
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: list[str] | None = None) -> DataFrame:
