@@ -83,7 +83,7 @@ RULES: dict[str, Callable[[Measures], bool]] = {
     "too_short": lambda m: m.n_words < 50,
     "repeated_windows": lambda m: 100 * m.n_repeat_words > 50 * m.n_words,
     "symbols": lambda m: 10 * m.n_symbols > 3 * m.n_words,
-    "repeated_lines": lambda m: 100 * m.n_dup_lines > 30 * len(m.lines),
+    "repeated_lines": lambda m: 100 * m.n_dup_lines > 45 * len(m.lines),
     "upper_case": lambda m: 2 * m.n_upper > max(m.n_letters, 1),
     "bangs": lambda m: 4 * m.n_bangs > m.n_words,
     "word_length": lambda m: not 2 * m.n_words <= m.word_chars <= 20 * m.n_words,
