@@ -36,6 +36,7 @@ PREFIXES = (4, 5)
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 STEPS, RATE, PENALTY = 60, 0.5, 1e-3
 CACHE_WORDS = 400_000
+PIECE, MARGIN = 512, 96
 
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 97 + b - 65 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -130,18 +131,25 @@ class Field:
             self.move += RATE * steps[2] / np.sqrt(seen[2])
 
     def tag(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Toxic marginals of each chain of emissions. Chains of like length share a pass."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(chains)
-        order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
-        for k in range(0, len(order), 64):
-            part = order[k : k + 64]
-            size = len(chains[part[-1]])
+        """Toxic marginals of each chain of emissions.
+
+        Chains of like length share a pass. Long ones are cut into pieces of PIECE words that also see
+        MARGIN words on either side, over which a two-tag chain forgets its far end.
+        """
+        out = [np.zeros(len(c)) for c in chains]
+        parts = [(i, k, c[max(0, k - MARGIN) : k + PIECE + MARGIN]) for i, c in enumerate(chains) for k in range(0, len(c), PIECE)]
+        parts.sort(key=lambda x: len(x[2]))
+        for n in range(0, len(parts), 256):
+            part = parts[n : n + 256]
+            size = len(part[-1][2])
             e, mask = np.zeros((len(part), size)), np.zeros((len(part), size), bool)
-            for r, i in enumerate(part):
-                e[r, : len(chains[i])], mask[r, : len(chains[i])] = chains[i], True
+            for r, (_, _, c) in enumerate(part):
+                e[r, : len(c)], mask[r, : len(c)] = c, True
             p = self.marginals(e, mask)[0]
-            for r, i in enumerate(part):
-                out[i] = p[r, : len(chains[i])]
+            for r, (i, k, c) in enumerate(part):
+                at = min(k, MARGIN)
+                own = p[r, at : min(len(c), at + PIECE)]
+                out[i][k : k + len(own)] = own
         return out
 
     def summaries(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray | None]]:
