@@ -23,6 +23,7 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by sa 4 0": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
     "licensed under the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
@@ -80,19 +81,28 @@ def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
         for i, at in places:
             start = end - length + 1 - at
             k, n = patterns[i][3], len(patterns[i][1])
-            a, b = max(0, start - k), min(len(text), start + n + k)
-            spans = tried.setdefault(i, [])
-            if spans and a <= spans[-1][1] and spans[-1][0] <= a:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
+            tried.setdefault(i, []).append((max(0, start - k), min(len(text), start + n + k)))
     found = []
-    for i, spans in tried.items():
+    for i, windows in tried.items():
         pattern, _, label, _ = patterns[i]
+        spans: list[list[int]] = []
+        for a, b in sorted(windows):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
         for a, b in spans:
             for m in pattern.finditer(text, a, b):
                 found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(found, key=lambda f: (f[1], f[0]))
+    # of overlapping places, the one with the fewest edits, then the longest, tells the notice
+    kept: list[tuple[str, int, int, int]] = []
+    for f in sorted(found, key=lambda f: (f[1], f[0])):
+        if kept and f[1] < kept[-1][2]:
+            if (f[3], kept[-1][2] - kept[-1][1]) < (kept[-1][3], f[2] - f[1]):
+                kept[-1] = f
+        else:
+            kept.append(f)
+    return kept
 
 
 def base_places(text: str) -> list[tuple[str, int]]:

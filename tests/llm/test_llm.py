@@ -293,6 +293,7 @@ def test_licenses(spark, data):
     n, k, first, last, base, labels, score, _ = licenses.scan("Ünder the MIT-License: under the mit license! cc BY/nc, then under the mit license".encode())
     assert (n, k, first, last, base) == (16, 3, 4, 12, "cc-by-nc,mit") and score == 1.0 and "mit" in labels
     assert licenses.scan(b"Relesed under the MIT licence today")[5] == "mit" and licenses.scan(b"the mit of licenses is under repair")[5] == ""
+    assert licenses.scan(b"Licensed under CC BY-SA 4.0")[5] == "cc-by-sa" and licenses.scan(b"Licensed under CC BY-NC 4.0")[5] == "cc-by-nc"
     assert licenses.scan(b"") == (0, 0, None, None, "", "", 0.0, "")
     assert sum(r["n_base"] for r in run("op9_license_scan", spark, data)) == 1
 
