@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def _streams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _train(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n = Model(v), 0
+        m, n, task = Model(v), 0, TaskContext.get().partitionId()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -228,7 +229,7 @@ def _train(v: Vocabulary):
             n += len(tok)
         if n:
             for k, part in enumerate(np.array_split(m.weights() * n, PIECES)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["piece", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["task", "piece", "n", "w"])
 
     return run
 
@@ -244,11 +245,11 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def fit(texts_df: DataFrame, v: Vocabulary) -> Model:
-    """Averages the partitions' models: sums by piece, in two levels so that no task adds more than it must."""
+    """Averages the partitions' models: sums by piece in two levels, each of some square root of their number."""
     schema = "piece int, n long, w binary"
-    parts = materialize(texts_df.mapInArrow(_train(v), schema), "lm-models")
-    wide = parts.withColumn("some", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
-    some = wide.groupBy("piece", "some").applyInArrow(_add, schema)
+    parts = materialize(texts_df.mapInArrow(_train(v), f"task int, {schema}"), "lm-models")
+    shares = math.isqrt(parts.count() // PIECES) + 1
+    some = parts.withColumn("some", F.pmod("task", F.lit(shares))).groupBy("piece", "some").applyInArrow(_add, schema)
     got = some.groupBy("piece").applyInArrow(_add, schema).orderBy("piece").collect()
     model = Model(v)
     if got:
