@@ -40,6 +40,7 @@ SIZE = HEAD // CLASSES
 FREQUENT = 150_000
 #: Hashed feature rows: contexts of one word, and of the pair.
 WORD_ROWS, PAIR_ROWS = 4096, 16_384
+assert 2 * WORD_ROWS + PAIR_ROWS <= 1 << 16
 BATCH = 8192
 RATE = 0.6
 #: Float sums are dealt out in so many pieces a model.
@@ -156,17 +157,28 @@ class Model:
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
+        top = x
+        while top.shape[1] > 1:  # halves against each other: numpy's own maximum of short rows is slow
+            half = (top.shape[1] + 1) // 2
+            top = np.maximum(top[:, :half], top[:, -half:])
+        x -= top
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+        return x
+
+    @staticmethod
+    def _logits(table: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        x = np.take(table, ctx[:, 0], axis=0)
+        x += np.take(table, ctx[:, 1], axis=0)
+        x += np.take(table, ctx[:, 2], axis=0)
         return x
 
     def _parts(self, rank: np.ndarray, ctx: np.ndarray):
         c = np.where((rank >= 0) & (rank < HEAD), rank % CLASSES, CLASSES)
-        p = self._softmax(self.cls[ctx[:, 0]] + self.cls[ctx[:, 1]] + self.cls[ctx[:, 2]] + self.cls_bias)
+        p = self._softmax(self._logits(self.cls, ctx) + self.cls_bias)
         at = np.flatnonzero(c < CLASSES)
         hc = ctx[at]
-        q = self._softmax(self.place[hc[:, 0]] + self.place[hc[:, 1]] + self.place[hc[:, 2]] + self.place_bias[c[at]])
+        q = self._softmax(self._logits(self.place, hc) + np.take(self.place_bias, c[at], axis=0))
         return c, p, at, q
 
     def learn(self, rank: np.ndarray, ctx: np.ndarray) -> None:
@@ -183,12 +195,16 @@ class Model:
         """A step on each row by its mean gradient, so that frequent rows move no further than rare ones."""
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
         rows = rows[order]
         first = np.flatnonzero(np.diff(rows, prepend=-1))
-        total = np.add.reduceat(grad[order], first, axis=0)
         n = np.diff(np.append(first, len(rows)))
-        table[rows[first]] -= (RATE / np.sqrt(n + 8.0) / 3)[:, None].astype(np.float32) * total
+        total, many = np.take(grad, order[first], axis=0), n > 1
+        if many.any():
+            starts = np.cumsum(n[many]) - n[many]
+            total[many] = np.add.reduceat(np.take(grad, order[np.repeat(many, n)], axis=0), starts, axis=0)
+        total *= (RATE / np.sqrt(n + 8.0) / 3)[:, None].astype(np.float32)
+        table[rows[first]] -= total
 
     def log10(self, rank: np.ndarray, ctx: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; in the tail without the word's own count, which may come later."""
