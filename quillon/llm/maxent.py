@@ -7,8 +7,9 @@ context), both softmaxes over hashed features of the context: the last word, the
 skip), and the pair. In the tail class words follow their smoothed counts, so the model is a proper
 distribution over known words plus one unknown.
 
-Training is one pass of mini-batch gradient steps in each partition from the same start, on every
-training text; the partitions' models are averaged, weighted by their tokens, by a distributed sum.
+Training is one pass of mini-batch gradient steps in each partition (small ones taken together) from
+the same start, on every training text; the partitions' models are averaged, weighted by their
+tokens, by a distributed sum.
 Scoring multiplies sparse feature rows in numpy batches.
 
 Counts of frequent tokens (FREQUENT, a fixed bound) are broadcast; the rest are joined by hash, so
@@ -43,8 +44,10 @@ WORD_ROWS, PAIR_ROWS = 4096, 16_384
 assert 2 * WORD_ROWS + PAIR_ROWS <= 1 << 16
 BATCH = 8192
 RATE = 0.6
-#: Float sums are dealt out in so many pieces a model.
-PIECES = 16
+#: Float sums are dealt out in so many pieces a model (98 KB each).
+PIECES = 64
+#: Small partitions are trained together, so that models have about so many tokens at least.
+MODEL_TOKENS = 1_000_000
 CACHE_WORDS = 400_000
 END = b"\n"
 
@@ -263,7 +266,8 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit(texts_df: DataFrame, v: Vocabulary) -> Model:
     """Averages the partitions' models: sums by piece in two levels, each of some square root of their number."""
     schema = "piece int, n long, w binary"
-    parts = materialize(texts_df.mapInArrow(_train(v), f"task int, {schema}"), "lm-models")
+    fewest = max(texts_df.sparkSession.sparkContext.defaultParallelism, v.total // MODEL_TOKENS)
+    parts = materialize(texts_df.coalesce(fewest).mapInArrow(_train(v), f"task int, {schema}"), "lm-models")
     shares = math.isqrt(parts.count() // PIECES) + 1
     some = parts.withColumn("some", F.pmod("task", F.lit(shares))).groupBy("piece", "some").applyInArrow(_add, schema)
     got = some.groupBy("piece").applyInArrow(_add, schema).orderBy("piece").collect()
@@ -324,7 +328,7 @@ def score(docs: DataFrame, remainder: int = 1) -> DataFrame:
     # rare tokens: their counts come by a join on the hash, and go back summed by row
     rare = scored.select("_row", F.explode("rest").alias("token"))
     found = rare.join(counts, "token").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("gain"), F.count("*").alias("known"))
-    unknown = F.size("rest") - F.coalesce("known", F.lit(0))
+    unknown = F.col("n_tokens") - F.col("n_stored") - F.coalesce("known", F.lit(0))
     gain = F.coalesce("gain", F.lit(0.0)) + unknown * math.log10(0.5)
     return scored.join(found, "_row", "left").select(
         "doc_id", held_out(F.col("doc_id"), remainder).alias("held_out"), "n_tokens", (F.col("n_stored") + F.coalesce("known", F.lit(0))).alias("n_known"),
