@@ -234,7 +234,10 @@ def hidden_links(docs: DataFrame, members: DataFrame) -> DataFrame | None:
     edges = materialize(members.join(mixed.select("key", "first"), "key").select(F.col("first").alias("a"), F.col("node").alias("b"), "n_shingles", "component"), "near-mixed")
     if not edges.limit(1).count():
         return None
-    group = components(edges.select("a", "b").distinct()).withColumnRenamed("component", "grp")
+    # a node has BANDS buckets at most: their first members are tied to the smallest of these instead of each to the node
+    tied = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("firsts"))
+    stars = tied.select("a", "b").union(tied.select("a", F.explode("firsts").alias("b"))).distinct()
+    group = components(materialize(stars, "near-stars")).withColumnRenamed("component", "grp")
     rows = edges.select(F.col("b").alias("node"), "n_shingles", "component").distinct().join(group, "node")
     blocks = rows.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     dealt = materialize(rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-dealt")
