@@ -2,8 +2,9 @@
 
 The novelty method looks at candidate strings near a sensitive word. A compressor primed with a
 dictionary of identifiers and code compresses the surrounding text with and without the candidate;
-the difference is the candidate's marginal cost in bytes. Candidates that cost nearly their own
-entropy are reported as `novel`, unless they overlap a span of the fixed patterns.
+the difference is the candidate's marginal cost in bytes. Literals are left uncoded, so a string that
+nothing explains costs its length, however long it is and whatever its alphabet. Candidates that cost
+nearly that are reported as `novel`, unless a span of the fixed patterns covers them whole.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive, ordered
 by start, then kind as listed in KINDS; rows are scanned one by one, so repeated rows agree; extra
@@ -29,8 +30,10 @@ SENSITIVE = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"
 _SENSITIVE = re.compile("|".join(re.escape(x.decode()) for x in SENSITIVE), re.IGNORECASE | re.ASCII)
 CONTEXT = 64
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: Marginal compressed bytes a character from which a string is novel: short random strings stay literals and cost 1.
+#: Marginal compressed bytes a character from which a string is novel: random strings stay literals and cost 1.
 NOVELTY = 0.9
+#: Strings without a digit need so large a share of either case; names in camel case have fewer capitals.
+CASE_SHARE = 0.3
 
 #: Primes the compressor: identifiers and code that are not secrets.
 DICTIONARY = (
@@ -48,16 +51,25 @@ _ZSTD = None
 def _cost(data: bytes) -> int:
     global _ZSTD
     if _ZSTD is None:
-        _ZSTD = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        # the fast strategy with a target length codes no literals; matches under 5 bytes happen by chance
+        how = zstandard.ZstdCompressionParameters(window_log=20, hash_log=14, chain_log=14, search_log=1, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False)
+        _ZSTD = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
     return len(_ZSTD.compress(data))
 
 
 def novelty(before: str, candidate: str, after: str = "") -> float:
     """Marginal compressed bytes of the candidate a character, given its surroundings."""
     around = (before + "\n" + after).encode("utf-8", "replace")
-    # the surroundings come twice, so that they cost nothing new beside the candidate
-    base = around + b"\n" + around
-    return max(0, _cost(base + candidate.encode("utf-8", "replace")) - _cost(base)) / max(1, len(candidate))
+    # the surroundings come twice, so that they cost nothing new beside the candidate; the zeros after it keep
+    # both blocks compressible, and the surroundings away from a block's last bytes, where no match is sought
+    base, rest = around + b"\n" + around, bytes(64)
+    return max(0, _cost(base + candidate.encode("utf-8", "replace") + rest) - _cost(base + rest)) / max(1, len(candidate))
+
+
+def mixed(word: str) -> bool:
+    """Digits with letters, or letters of both cases in some balance."""
+    lower, upper = len(re.findall(r"[a-z]", word)), len(re.findall(r"[A-Z]", word))
+    return bool(lower or upper) if re.search(r"[0-9]", word) else min(lower, upper) >= CASE_SHARE * len(word)
 
 
 def base_spans(text: str, low: bytes | None = None) -> list[tuple[str, int, int]]:
@@ -83,10 +95,9 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[str, int, int]]) -> lis
                 end += 1
             word = text[start:end]
             last = end
-            if any(a < end and start < b for _, a, b in taken):
+            if any(a <= start and end <= b for _, a, b in taken):
                 continue
-            mixed = sum(bool(re.search(c, word)) for c in (r"[a-z]", r"[A-Z]", r"[0-9]"))
-            if mixed >= 2 and re.search(r"[0-9]", word) and novelty(text[max(0, start - CONTEXT) : start], word, text[end : end + CONTEXT]) >= NOVELTY:
+            if mixed(word) and novelty(text[max(0, start - CONTEXT) : start], word, text[end : end + CONTEXT]) >= NOVELTY:
                 out.append(("novel", start, end))
     return out
 

@@ -160,6 +160,25 @@ def test_secrets(spark, data):
     assert len(got) == len(rows()) and sum(r["n_hex"] for r in got) == 1 and sum(r["n_assign"] for r in got) == 1
 
 
+ALPHABETS = {k: "".join(c for c in map(chr, range(33, 127)) if re.match(p, c)) for k, p in {"base64": "[A-Za-z0-9+/]", "base64url": "[A-Za-z0-9_-]", "alphanumeric": "[A-Za-z0-9]", "upper hex": "[0-9A-F]", "lower": "[a-z0-9]", "upper": "[A-Z0-9]"}.items()}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_novelty_of_random_strings(alphabet):
+    r, pool = random.Random(5), ALPHABETS[alphabet]
+    around = [("bearer ", ""), ("what the old host sends in its header is this: bearer ", " and the next line says that all of the others are to be kept in the store")]
+    for n in (16, 24, 32, 64, 100, 160, 300, 800, 2000):
+        found = 0
+        for k in range(100):
+            key = "".join(r.choices(pool, k=n))
+            before, after = around[k % 2]
+            # the whole string, though digits in a row make hex spans of parts of it
+            found += secrets.redact((before + key + after).encode()) == f"{before}[REDACTED]{after}"
+        assert found >= 97, (alphabet, n, found)
+    for name in ("user_name_configuration_value_1", "createConnectionFactory2", "createConnectionFactory", "oauth2_client_credentials_grant_type"):
+        assert secrets.digest(f"bearer {name} and so on".encode())[4] == ""
+
+
 def test_chat(spark, data):
     got = {r["conv_id"]: r for r in run("op4_chat_format", spark, data)}
     x = "b\\###</turn>: x"
