@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import zstandard
 
@@ -29,7 +31,9 @@ ASSIGN_LEAST = 12
 SENSITIVE = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"api-key", b"credential", b"private_key", b"private key", b"bearer", b"authorization", b"access key", b"access_key")
 _SENSITIVE = re.compile("|".join(re.escape(x.decode()) for x in SENSITIVE), re.IGNORECASE | re.ASCII)
 CONTEXT = 64
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+CANDIDATE_LEAST = 16
+#: Runs that hold candidates: '=' is padding at their end, anywhere else it separates.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Marginal compressed bytes a character from which a string is novel: random strings stay literals and cost 1.
 NOVELTY = 0.9
 #: Strings without a digit need so large a share of either case; names in camel case have fewer capitals.
@@ -83,22 +87,41 @@ def base_spans(text: str, low: bytes | None = None) -> list[tuple[str, int, int]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the runs, cut at sensitive words joined to them; a run without a long enough part stays whole."""
+    k = 0
+    for run in _RUN.finditer(text):
+        start, end = run.span()
+        while k < len(words) and words[k][1] <= start:
+            k += 1
+        parts, at, j = [], start, k
+        while j < len(words) and words[j][0] < end:
+            a, b = words[j]
+            before, after = a > start and text[a - 1] in "_-", text[b : b + 1] in ("_", "-")
+            # letters in a random string may spell a word: it counts at the start or beside a separator
+            if a <= start or before or after:
+                parts.append((at, a - before))
+                at = b + after
+            j += 1
+        parts = [(a, b) for a, b in [*parts, (at, end)] if b - a >= CANDIDATE_LEAST]
+        yield from parts or [(start, end)] * (end - start >= CANDIDATE_LEAST)
+
+
 def novel_spans(text: str, low: bytes, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not any(w in low for w in SENSITIVE):
         return []
-    out, last = [], -1
-    for s in _SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(last, s.end()), min(len(text), s.end() + CONTEXT)):
-            # the window may cut a string: take all of it
-            start, end = m.start(), m.end()
-            while end < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[end]):
-                end += 1
-            word = text[start:end]
-            last = end
-            if any(a <= start and end <= b for _, a, b in taken):
-                continue
-            if mixed(word) and novelty(text[max(0, start - CONTEXT) : start], word, text[end : end + CONTEXT]) >= NOVELTY:
-                out.append(("novel", start, end))
+    words = [s.span() for s in _SENSITIVE.finditer(text)]
+    ends = [b for _, b in words]
+    out = []
+    for start, end in candidates(text, words):
+        k = bisect_right(ends, start)
+        if not k or start + CANDIDATE_LEAST > ends[k - 1] + CONTEXT:
+            continue
+        if any(a <= start and end <= b for _, a, b in taken):
+            continue
+        word = text[start:end]
+        if mixed(word) and novelty(text[max(0, start - CONTEXT) : start], word, text[end : end + CONTEXT]) >= NOVELTY:
+            out.append(("novel", start, end))
     return out
 
 

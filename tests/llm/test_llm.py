@@ -179,6 +179,17 @@ def test_novelty_of_random_strings(alphabet):
         assert secrets.digest(f"bearer {name} and so on".encode())[4] == ""
 
 
+def test_secrets_joined_to_words():
+    key = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzE3mPLq9"
+    for word in [w.decode() for w in secrets.SENSITIVE] + ["aws_secret_access_key", "DB_PWD", "my_private_key"]:
+        for text in (f"{word}={key}", f"export {word.upper()}={key}==\n", f"x;{word}='{key}'", f"{word} = {key}", f"{word}-{key} x", f"{word}_{key}", f"?{word}={key}&next=1"):
+            red = secrets.redact(text.encode())
+            assert red and key not in red and "wJalr" not in red and "PLq9" not in red, text
+            assert "==" not in red, text
+    assert secrets.redact(b"pwd=" + key.encode()) == "pwd=[REDACTED]" and secrets.redact(b"token-" + key.encode()) == "token-[REDACTED]"
+    assert secrets.redact(b"access_token_secret_name_2=access_token_refresh_handler_2") is None
+
+
 def test_chat(spark, data):
     got = {r["conv_id"]: r for r in run("op4_chat_format", spark, data)}
     x = "b\\###</turn>: x"
