@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import zstandard
@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-#: Words that make the text after them sensitive, within CONTEXT characters.
+#: Words that make strings sensitive that start within CONTEXT characters after them or end within as many before.
 SENSITIVE = (b"password", b"passwd", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"api-key", b"credential", b"private_key", b"private key", b"bearer", b"authorization", b"access key", b"access_key")
 _SENSITIVE = re.compile("|".join(re.escape(x.decode()) for x in SENSITIVE), re.IGNORECASE | re.ASCII)
 CONTEXT = 64
@@ -111,11 +111,11 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[str, int, int]]) -> lis
     if not any(w in low for w in SENSITIVE):
         return []
     words = [s.span() for s in _SENSITIVE.finditer(text)]
-    ends = [b for _, b in words]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for start, end in candidates(text, words):
-        k = bisect_right(ends, start)
-        if not k or start + CANDIDATE_LEAST > ends[k - 1] + CONTEXT:
+        after, before = bisect_right(ends, start), bisect_left(starts, end)
+        if not (after and start - ends[after - 1] <= CONTEXT or before < len(starts) and starts[before] - end <= CONTEXT):
             continue
         if any(a <= start and end <= b for _, a, b in taken):
             continue

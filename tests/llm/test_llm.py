@@ -190,6 +190,20 @@ def test_secrets_joined_to_words():
     assert secrets.redact(b"access_token_secret_name_2=access_token_refresh_handler_2") is None
 
 
+def test_secrets_on_both_sides_of_words():
+    key = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzE3mPLq9"
+    long = "".join(random.Random(7).choices(ALPHABETS["base64"], k=700))
+    text = f"{key} is the access key"
+    assert secrets.redact(text.encode()) == "[REDACTED] is the access key"
+    assert secrets.redact(f"the access key for the service that runs on the old host is now {key}".encode()).endswith(" now [REDACTED]")
+    assert secrets.redact(f"{key}-token {key[::-1]}_pwd".encode()) == "[REDACTED]-token [REDACTED]_pwd"
+    for gap in range(1, 70):
+        space = " " + "." * (gap - 2) + " " * (gap > 1)
+        for text in (f"bearer{space}{long} x", f"x {long}{space}bearer"):
+            assert (secrets.redact(text.encode()) is not None) == (gap <= secrets.CONTEXT), (gap, text)
+            assert gap > secrets.CONTEXT or secrets.redact(text.encode()) == text.replace(long, "[REDACTED]")
+
+
 def test_chat(spark, data):
     got = {r["conv_id"]: r for r in run("op4_chat_format", spark, data)}
     x = "b\\###</turn>: x"
