@@ -84,16 +84,21 @@ def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
             tried.setdefault(i, []).append((max(0, start - k), min(len(text), start + n + k)))
     found = []
     for i, windows in tried.items():
-        pattern, _, label, _ = patterns[i]
+        pattern, notice, label, k = patterns[i]
+        least = len(notice) - k
         spans: list[list[int]] = []
         for a, b in sorted(windows):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        for a, b in spans:
-            for m in pattern.finditer(text, a, b):
+        # the best place of a window is found first: what lies before it is searched as well as what follows
+        while spans:
+            a, b = spans.pop()
+            m = pattern.search(text, a, b) if b - a >= least else None
+            if m:
                 found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                spans += [[a, m.start()], [m.end(), b]]
     # of overlapping places, the one with the fewest edits, then the longest, tells the notice
     kept: list[tuple[str, int, int, int]] = []
     for f in sorted(found, key=lambda f: (f[1], f[0])):

@@ -342,6 +342,16 @@ def test_licenses(spark, data):
     assert sum(r["n_base"] for r in run("op9_license_scan", spark, data)) == 1
 
 
+def test_license_places_before_a_better_one():
+    exact, near, worse = "released under the mit license", "released under the mit licence", "relesed under the mit licence"
+    for parts in ((near, exact), (exact, near), (worse, near, exact), (near, worse, exact, worse, near), (worse, near) * 5 + (exact,), (exact,) * 40, (near,) * 40):
+        text, at, want = " ".join(["", *parts, ""]), 1, []
+        for x in parts:
+            want.append(("mit", at, at + len(x), 0 if x == exact else 1 if x == near else 2))
+            at += len(x) + 1
+        assert licenses.fuzzy(text) == want
+
+
 def test_mixing(spark, data):
     got = run("op10_mix_sources", spark, data)
     size = Counter()
