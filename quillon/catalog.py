@@ -2,7 +2,8 @@
 
 Adapters: `documents` become recipe-shaped rows (title: first line; description: second; the other
 lines are instructions; categories: language and source; method: language; cooking time: n_chars
-modulo 90). `benchmark` passages give queries (their first two words). `labels` have no query, so
+modulo 90). `benchmark` passages give queries (their first two words, and whole in the
+*_passages queries, which have no SQL). `labels` have no query, so
 they are dealt to the queries by doc_id modulo their number; relevance is quality + 1 - toxic.
 """
 
@@ -88,8 +89,10 @@ def stored(spark: SparkSession, d: str) -> I.Index:
     return I.Index(docs, post, I.field_lengths(token_rows), stats, I.doc_norms(post, stats, n), n)
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(X.tokenize(F.col("text")), 1, 2)
+def asked(spark: SparkSession, d: str, n: int | None = 2) -> DataFrame:
+    """Passages as queries: their first n words, as the shared SQL has them, or all."""
+    words = X.tokenize(F.col("text"))
+    words = words if n is None else F.slice(words, 1, n)
     return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
@@ -207,6 +210,22 @@ def pagination(spark, d):
     return _bm(spark, d).filter("rank > 5 and rank <= 10").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
+@query()
+def bm25f_rank_passages(spark, d):
+    """Whole passages: the shared SQL has evidence for two terms only."""
+    return R.bm25f(stored(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", _r6("score"))
+
+
+@query()
+def tfidf_rank_passages(spark, d):
+    return R.tfidf(stored(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", _r6("score"))
+
+
+@query()
+def phrase_evidence_passages(spark, d):
+    return R.phrase_evidence(whole(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", "field", F.col("exact").cast("long").alias("exact"), F.col("gap").cast("long").alias("gap"))
+
+
 @query(f"WITH {BM25F}, x AS (SELECT query_id, unnest([lang, source]) AS value, 'categories' AS facet FROM bm25f JOIN docs USING (doc_id) UNION ALL SELECT query_id, source, 'difficulties' FROM bm25f JOIN docs USING (doc_id) UNION ALL SELECT query_id, lang, 'cooking_methods' FROM bm25f JOIN docs USING (doc_id)) SELECT query_id, facet, value, count(*) AS count FROM x GROUP BY ALL")
 def facets(spark, d):
     ix = stored(spark, d)

@@ -1,10 +1,14 @@
 """Scalars, ingest, index, ranking, service and evaluation on small corpora with known answers."""
 
+import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalog
 from quillon import schema as S
 from quillon.functions import scalars as H
 from quillon.functions import snippets
@@ -259,6 +263,53 @@ def test_streaming_append(spark, tmp_path, index):
     assert spark.read.parquet(str(tmp_path / "ix/stream_postings")).count() == 112
 
 
+@pytest.fixture(scope="module")
+def passages(spark, tmp_path_factory):
+    """Tables where passages of three and more words meet documents in order, apart, in part and repeated."""
+    d, r, words = str(tmp_path_factory.mktemp("catalog")), random.Random(11), ["apple", "birch", "cedar", "delta", "ember"]
+    asks = [(1, "apple birch cedar"), (2, "delta apple delta birch"), (3, "ember cedar birch apple delta"), (4, "birch birch birch"), (5, "apple missing cedar")]
+    texts = ["apple birch cedar", "x\ny\nz apple q birch cedar apple birch cedar", "apple\nbirch\ncedar delta", "ember cedar birch apple delta\ndelta apple delta birch", "birch", ""]
+    texts += ["\n".join(" ".join(r.choices(words, k=r.choice([2, 5, 12]))) for _ in range(4)) for _ in range(14)]
+    docs = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(asks, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, docs, asks
+
+
+def test_whole_passages(spark, passages):
+    d, docs, asks = passages
+    fields = {}
+    for i, t, lang, source, _ in docs:
+        lines = t.split("\n")
+        made = {"title": lines[0], "description": lines[1] if len(lines) > 1 else "", "ingredients": "", "instructions": " ".join(lines[2:]), "categories": f"{lang} {source}", "cooking_method": lang}
+        fields[str(i)] = {f: x.split() for f, x in made.items()}
+    average = {f: sum(len(x[f]) for x in fields.values()) / len(docs) for f in fields["0"]}
+    scores, evidence, n = {}, set(), len(docs)
+    for q, text in asks:
+        terms = text.split()
+        for i, x in fields.items():
+            s = 0.0
+            for w in dict.fromkeys(terms):
+                df = sum(any(w in ws for ws in y.values()) for y in fields.values())
+                ctf = sum(S.TFIDF_WEIGHTS[f] * ws.count(w) / max(1 - S.BM25F_B[f] + S.BM25F_B[f] * (len(ws) / average[f] if average[f] else 1), 1e-9) for f, ws in x.items())
+                s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * ctf / (1.2 + ctf) * (1 + math.log(terms.count(w)))
+            for f, ws in x.items():
+                if all(w in ws for w in terms):
+                    exact = sum(ws[k : k + len(terms)] == terms for k in range(len(ws)))
+                    at = [[k for k, w in enumerate(ws) if w == t] for t in terms]
+                    gap = max(0, min(max(c) - min(c) for c in itertools.product(*at)) - len(terms) + 1)
+                    evidence.add((str(q), i, f, exact, gap))
+                    s += 2.0 * exact * S.TFIDF_WEIGHTS[f] + S.TFIDF_WEIGHTS[f] / (gap + 1)
+            if s:
+                scores[str(q), i] = s
+    found = catalog.queries()
+    assert {tuple(r) for r in found["phrase_evidence_passages"](spark, d).collect()} == evidence
+    assert any(e > 0 for *_, e, _ in evidence) and any(g > 0 for *_, g in evidence)
+    got = {(r.query_id, r.doc_id): r.score for r in found["bm25f_rank_passages"](spark, d).collect()}
+    assert got.keys() == scores.keys() and all(abs(v - scores[k]) < 1e-5 for k, v in got.items())
+    assert {(r.query_id, r.doc_id) for r in found["tfidf_rank_passages"](spark, d).collect()} == scores.keys()
+
+
 def test_import_without_llm():
     import __spark_entry__ as entry
 
