@@ -460,8 +460,9 @@ def page_links(spark, d):
 
 @query()
 def snippet(spark, d):
+    """Of every hit on a query's first page, at the largest size that the service gives."""
     ix = stored(spark, d)
-    top = _bm(spark, d, ix).filter("rank <= 3").drop("title").join(ix.documents, "doc_id")
+    top = _bm(spark, d, ix).filter(F.col("rank") <= serve.MAX_PAGE_SIZE).drop("title").join(ix.documents, "doc_id")
     return top.select("query_id", "rank", "doc_id", snippets.snippet_column(F.struct(*snippets.PRIORITY), F.col("matched_fields"), F.col("matched_terms")).alias("s")).select("query_id", "rank", "doc_id", "s.field", "s.text", F.size("s.highlights").alias("n_highlights"))
 
 

@@ -310,6 +310,14 @@ def test_whole_passages(spark, passages):
     assert {(r.query_id, r.doc_id) for r in found["tfidf_rank_passages"](spark, d).collect()} == scores.keys()
 
 
+def test_snippets_of_a_whole_page(spark, passages):
+    d, _, _ = passages
+    made = {(r.query_id, r.doc_id): r for r in catalog.queries()["snippet"](spark, d).collect()}
+    hits = {(r.query_id, r.doc_id) for r in catalog.queries()["bm25f_rank"](spark, d).collect()}
+    assert made.keys() == hits and max(r["rank"] for r in made.values()) >= 10
+    assert all(r.field and r.text and r.n_highlights for r in made.values())
+
+
 def test_import_without_llm():
     import __spark_entry__ as entry
 
