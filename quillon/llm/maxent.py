@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, held_out, materialize, texts, tune
+from .common import column, held_out, materialize, task, texts, tune
 
 #: Words that the model predicts one by one, and their classes.
 HEAD, CLASSES = 992, 31
@@ -48,7 +48,7 @@ RATE = 0.6
 PIECES = 64
 #: Small partitions are trained together, so that models have about so many tokens at least.
 MODEL_TOKENS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 END = b"\n"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -60,17 +60,14 @@ class _Hash(dict):
         return got
 
 
-_HASHES = _Hash()
-
-
-def tokens(text: bytes) -> np.ndarray:
-    """63-bit hashes of the words and the end token."""
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
+def tokens(text: bytes, known: _Hash) -> np.ndarray:
+    """63-bit hashes of the words and the end token. known: the task's word hashes."""
+    if len(known) > CACHE_WORDS:
+        known.clear()
     words = text.lower().split()
     out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
-    out[-1] = _HASHES[END]
+    out[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    out[-1] = known[END]
     return out
 
 
@@ -81,8 +78,10 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
+@task
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of the task's rows."""
+    known = _Hash()
     parts: list[np.ndarray] = []
     keys, sums, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
@@ -94,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in texts(b):
-            parts.append(tokens(t))
+            parts.append(tokens(t, known))
             waiting += len(parts[-1])
         if waiting > 1_000_000:
             fold()
@@ -225,20 +224,21 @@ class Model:
         self.place = flat[n:].reshape(self.place.shape).astype(np.float32)
 
 
-def _streams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _streams(b: pa.RecordBatch, known: _Hash) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a batch, and where its texts start (with the end)."""
-    each = [tokens(t) for t in texts(b)]
+    each = [tokens(t, known) for t in texts(b)]
     ends = np.cumsum([len(x) for x in each])
     return np.concatenate(each), np.concatenate([[0], ends])
 
 
 def _train(v: Vocabulary):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, n, task = Model(v), 0, TaskContext.get().partitionId()
+        m, n, part, known = Model(v), 0, TaskContext.get().partitionId(), _Hash()
         for b in batches:
             if not b.num_rows:
                 continue
-            tok, cut = _streams(b)
+            tok, cut = _streams(b, known)
             start = np.zeros(len(tok), bool)
             start[cut[:-1]] = True
             rank, _ = v.find(tok)
@@ -247,8 +247,8 @@ def _train(v: Vocabulary):
                 m.learn(rank[k : k + BATCH], ctx[k : k + BATCH])
             n += len(tok)
         if n:
-            for k, part in enumerate(np.array_split(m.weights() * n, PIECES)):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["task", "piece", "n", "w"])
+            for k, piece in enumerate(np.array_split(m.weights() * n, PIECES)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([piece.astype(np.float32).tobytes()], pa.binary())], ["task", "piece", "n", "w"])
 
     return run
 
@@ -287,11 +287,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def _score(model: Model, remainder: int):
     v = model.v
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hash()
         for b in batches:
             if not b.num_rows:
                 continue
-            tok, cut = _streams(b)
+            tok, cut = _streams(b, known)
             start = np.zeros(len(tok), bool)
             start[cut[:-1]] = True
             rank, count = v.find(tok)

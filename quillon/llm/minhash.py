@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, column, materialize, texts, tune
+from .common import BROADCAST_IDS, column, materialize, task, texts, tune
 
 SHINGLE = 5
 #: Similarity in percent from which documents are linked.
@@ -40,7 +40,7 @@ FINE = 512
 FINE_CUT = 0.62
 #: Shingles of one block (16 MB of hashes) in the search of mixed buckets.
 BLOCK_SHINGLES = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CC_ROUNDS = 50
 
 _WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,24 +52,21 @@ class _WordHash(dict):
         return got
 
 
-_HASHES = _WordHash()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def shingle_set(text: bytes, known: _WordHash) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles. known: the task's word hashes."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     width = min(SHINGLE, n)
     h = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
@@ -111,22 +108,27 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@task
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _WordHash()
     for b in batches:
         n, whole, keys = [], [], []
         for t in texts(b):
-            s = shingle_set(t)
+            s = shingle_set(t, known)
             n.append(len(s))
             whole.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             keys.append(band_keys(signature(s)).tolist() if len(s) else None)
         yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "whole", "keys"])
 
 
+@task
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _WordHash()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([column(b, "node"), pa.array([shingle_set(t).tobytes() for t in texts(b)], pa.binary())], ["node", "set"])
+        yield pa.RecordBatch.from_arrays([column(b, "node"), pa.array([shingle_set(t, known).tobytes() for t in texts(b)], pa.binary())], ["node", "set"])
 
 
+@task
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets reach the threshold."""
     for b in batches:

@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, column, materialize, texts, tune
+from .common import BROADCAST_IDS, column, materialize, task, texts, tune
 
 LENGTH = 2048
 SEPARATOR = 0
@@ -36,9 +37,8 @@ CLOSE_SLACK = 4
 GROUP_BINS = 100_000
 FAN_IN = 8
 ROUNDS = 12
-#: Words whose ids a worker remembers; the store is emptied when full.
-CACHE_WORDS = 600_000
-_KNOWN: dict[str, "WordIds"] = {}
+#: Words whose ids a task remembers; the store is emptied when full.
+CACHE_WORDS = 250_000
 
 
 #: Words spelled with these characters alone are split here; any other goes through the library's own normaliser.
@@ -65,11 +65,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.merger = self._merger(path)
+        self.tokenizer, self.merger = _load(path)
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -120,6 +116,16 @@ class WordIds(dict):
             self.pieces.clear()
 
 
+@lru_cache(1)
+def _load(path: str):
+    """The tokenizer and its rank merger: of a fixed size, so a worker keeps them for later tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer, WordIds._merger(path)
+
+
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each item, and each bin's fill: largest items first, tightest bin first."""
     bins, offsets, fills = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
@@ -145,11 +151,11 @@ def best_fit(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, n
 
 
 def _pack_partition(tokenizer_path: str | None, keep: list[str]):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
-        known = _KNOWN.get(path) or _KNOWN.setdefault(path, WordIds(path))
+        known = WordIds(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.asarray([SEPARATOR], "<u4").tobytes()
         kept, piece, start, length, crc = [], [], [], [], []
         for b in batches:
