@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a function over a document's lazily computed measures. A bounded sample gives each
-rule's cost (seconds a document) and selectivity (share rejected); rules run in order of rejection
-per cost and the first that rejects ends the document's work. The order never changes a verdict.
+Every rule has a function over a document's lazily computed measures. Each task tries all rules on
+a systematic sample of its rows, one in SAMPLE_EVERY, which gives every rule's cost (seconds a
+document) and selectivity (share rejected); rules run in order of rejection per cost and the first
+that rejects ends the document's work. The order is planned anew whenever the sample has doubled. It
+never changes a verdict, so that reruns agree though costs are measured by the clock.
 
 Defined results: a null or empty text has no words, all counts 0, and fails; rows are judged one by
 one, so repeated rows and ties get equal verdicts; extra columns are not read; an empty table gives
@@ -18,10 +20,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, texts, tune
+from .common import column, task, texts, tune
 
-#: Rows from which cost and selectivity are estimated; the order of rules alone depends on them.
-SAMPLE_ROWS = 400
+#: One row of so many is tried on every rule; the order of rules alone depends on it.
+SAMPLE_EVERY = 64
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE_AND_TAIL = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
@@ -90,45 +92,60 @@ RULES: dict[str, Callable[[Measures], bool]] = {
 }
 
 
-def plan_cascade(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Cost and rejection of every rule on a bounded sample, best rejection per cost first."""
-    sample = [(r.text or "").encode() for r in docs.select("text").limit(sample_rows).collect()]
-    found = []
-    for name, rejects in rules.items():
-        began = time.perf_counter()
-        hits = sum(rejects(Measures(x)) for x in sample)
-        cost = (time.perf_counter() - began) / max(1, len(sample))
-        share = hits / max(1, len(sample))
-        found.append({"rule": name, "cost": cost, "rejects": share, "gain": share / max(cost, 1e-9)})
-    return sorted(found, key=lambda x: (-x["gain"], x["rule"]))
-
-
-def first_rejection(m: Measures, order: list[str], rules: dict[str, Callable] = RULES) -> str | None:
-    for name in order:
-        if rules[name](m):
-            return name
-    return None
-
-
-def judge(docs: DataFrame, columns: list[str], order: list[str] | None = None, counts: bool = False) -> DataFrame:
-    """Keeps columns; adds rejected_by (null: kept) and, if asked for, the base counts."""
+class Cascade:
+    """Rules in order of rejection per cost; both are estimated on a sample of the texts judged."""
+
+    def __init__(self, rules: dict[str, Callable[[Measures], bool]] = RULES):
+        self.rules = rules
+        self.order = list(rules)
+        self.rows = self.sampled = 0
+        self.cost, self.hits = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+
+    def sample(self, m: Measures) -> bool:
+        """Measures every rule on a text by itself; the verdict."""
+        kept = True
+        for name, rejects in self.rules.items():
+            alone = Measures(m.text)
+            began = time.perf_counter()
+            hit = bool(rejects(alone))
+            self.cost[name] += time.perf_counter() - began
+            self.hits[name] += hit
+            kept = kept and not hit
+        self.sampled += 1
+        if self.sampled & (self.sampled - 1) == 0:  # plan anew whenever the sample has doubled
+            self.order = sorted(self.rules, key=lambda n: (-self.hits[n] / max(self.cost[n], 1e-9), n))
+        return kept
+
+    def keeps(self, m: Measures) -> bool:
+        """The verdict: the first rule that rejects ends the work on a text, unless it belongs to the sample."""
+        self.rows += 1
+        if (self.rows - 1) % SAMPLE_EVERY == 0:
+            return self.sample(m)
+        return not any(self.rules[name](m) for name in self.order)
+
+
+def judge(docs: DataFrame, columns: list[str], counts: bool = False, rejected: bool = True) -> DataFrame:
+    """The columns, the base counts if asked for, and kept; without the rows that a rule rejects if rejected is False."""
     tune(docs.sparkSession)
-    order = order or [x["rule"] for x in plan_cascade(docs)]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if counts else []
     read = columns if "text" in columns else [*columns, "text"]
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade()
         for b in batches:
             out: list[list] = [[] for _ in names]
-            why = []
+            kept = []
             for x in texts(b):
                 m = Measures(x)
+                kept.append(cascade.keeps(m))
                 for o, n in zip(out, names):
                     o.append(getattr(m, n))
-                why.append(first_rejection(m, order))
-            arrays = [column(b, c) for c in columns] + [pa.array(o, pa.int64()) for o in out] + [pa.array(why, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *names, "rejected_by"])
+            verdict = pa.array(kept, pa.bool_())
+            arrays = [column(b, c) for c in columns] + [pa.array(o, pa.int64()) for o in out] + [verdict]
+            made = pa.RecordBatch.from_arrays(arrays, [*columns, *names, "kept"])
+            yield made if rejected else made.filter(verdict)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"{n} bigint" for n in names] + ["rejected_by string"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"{n} bigint" for n in names] + ["kept boolean"])
     return docs.select(*read).mapInArrow(run, schema)
