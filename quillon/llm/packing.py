@@ -3,8 +3,9 @@
 Hierarchical residual packing: each input partition packs its pieces best-fit, largest first. Bins
 with no more room than CLOSE_SLACK are finished. Underfull bins go on as single items into a tree of
 merges: groups of bounded size are packed best-fit again, with fewer groups each round, until a
-round saves next to nothing or a single group is left. Only bins travel, not pieces or texts, and no
-group exceeds GROUP_BINS, so no task gathers what grows with the corpus.
+round saves no bin, no fewer bins can hold the tokens or a single group has been packed. Only bins
+travel, not pieces or texts, and no group exceeds GROUP_BINS, so no task gathers what grows with the
+corpus.
 
 Defined results: a null or empty text is the separator alone (one piece of one token); repeated rows
 and null ids are separate documents; extra columns are not read; an empty table gives an empty
@@ -13,6 +14,7 @@ result; only texts longer than a sequence are cut.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -36,7 +38,6 @@ CLOSE_SLACK = 4
 #: Bins that one merge task takes; partitions merged by one task of the next round.
 GROUP_BINS = 100_000
 FAN_IN = 8
-ROUNDS = 12
 #: Words whose ids a task remembers; the store is emptied when full.
 CACHE_WORDS = 250_000
 
@@ -61,7 +62,8 @@ class WordIds(dict):
     """Ids (little-endian 32-bit) of white-space separated words; the tokenizer never joins across these.
 
     A vocabulary whose ids follow the order of its merges is merged by rank in tiktoken, which is
-    many times faster a word; other vocabularies and unusual characters use the tokenizer itself.
+    many times faster a word; other vocabularies, unusual characters and words that may hold one of
+    the tokenizer's own marks (<|...|>, which get their own ids) use the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -97,7 +99,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         low = (text := word.decode("utf-8", "replace")).lower()
-        if self.merger and (low.isprintable() if low.isascii() else _PLAIN.fullmatch(low)):
+        if self.merger and "<|" not in low and (low.isprintable() if low.isascii() else _PLAIN.fullmatch(low)):
             if low.isalpha():
                 got = self._piece(low)
             elif low[:-1].isalpha() and low[-1] in ".,;:!?":
@@ -121,9 +123,7 @@ def _load(path: str):
     """The tokenizer and its rank merger: of a fixed size, so a worker keeps them for later tasks."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, WordIds._merger(path)
+    return Tokenizer.from_file(path), WordIds._merger(path)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,13 +198,14 @@ def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def merge_bins(under: DataFrame) -> DataFrame | None:
     """under: (bin, fill). Gives (bin, sequence_id, shift) for the underfull bins, or None if there are none."""
     spark = under.sparkSession
-    n = under.count()
+    n, filled = under.agg(F.count("*"), F.sum("fill")).first()
     if not n:
         return None
+    fewest, bins = -(-filled // LENGTH), n  # as many bins the tokens need at least; as many hold them now
     placed = under.select("bin", F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("shift"))
     groups = max(1, -(-n // GROUP_BINS), under.rdd.getNumPartitions() // FAN_IN)
     items = under
-    for k in range(ROUNDS):
+    for k in itertools.count():
         keyed = items.withColumn("_group", F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(groups)))
         moved = materialize(keyed.groupBy("_group").applyInPandas(_merge_group, "bin long, into long, shift long, fill long, total long"), "pack-round")
         step = moved.select(F.col("bin").alias("_b"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
@@ -213,9 +214,9 @@ def merge_bins(under: DataFrame) -> DataFrame | None:
             placed.join(step, F.col("sequence_id") == F.col("_b"), "left").select("bin", F.coalesce("_into", "sequence_id").alias("sequence_id"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")), "pack-placed"
         )
         left = moved.filter((F.col("bin") == F.col("into")) & (F.col("total") < LENGTH - CLOSE_SLACK)).select("bin", F.col("total").alias("fill"))
-        saved, before = moved.filter(F.col("bin") != F.col("into")).count(), n
-        n = left.count()
-        if groups == 1 or not n or saved < 0.001 * before:
+        saved = moved.filter(F.col("bin") != F.col("into")).count()
+        n, bins = left.count(), bins - saved
+        if groups == 1 or not n or not saved or bins == fewest:
             break
         items, groups = left, max(1, -(-n // GROUP_BINS), groups // FAN_IN)
     return placed
