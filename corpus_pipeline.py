@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.judge(docs.select(*COLUMNS), COLUMNS).filter("rejected_by is null").select(*COLUMNS)
+    return quality.judge(docs.select(*COLUMNS), COLUMNS, rejected=False).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rest.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
 
 
+@common.task
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data = common.column(b, "text").cast(pa.binary()).to_pylist()
