@@ -2,16 +2,18 @@
 
 Adapters: `documents` become recipe-shaped rows (title: first line; description: second; the other
 lines are instructions; categories: language and source; method: language; cooking time: n_chars
-modulo 90). `benchmark` passages give queries (their first two words, and whole in the
-*_passages queries, which have no SQL). `labels` have no query, so
-they are dealt to the queries by doc_id modulo their number; relevance is quality + 1 - toxic.
+modulo 90). `benchmark` passages give queries, whole. `labels` have no query, so they are dealt to the
+queries by doc_id modulo their number; relevance is quality + 1 - toxic. Where the tables hold nothing
+that an operator works on (recipe pages, broken lines, concepts), its input is made from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
@@ -26,6 +28,9 @@ from .operators import profile as C
 from .operators import query as Q
 from .operators import rank as R
 from .operators import serve
+from .plans import pipelines
+from .sources import files
+from .storage import scratch, shared_dir
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -66,41 +71,46 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return ingest.with_keys(made)
 
 
-def rows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.processed(corpus(spark, d))
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.tokenized(corpus(spark, d))
 
 
-def whole(spark: SparkSession, d: str) -> I.Index:
-    """The corpus's index; its tables are lazy, so that a query pays for what it reads."""
-    docs = corpus(spark, d)
-    post = I.postings(ingest.processed(docs))
-    stats = I.term_stats(post)
-    n = docs.count()
-    return I.Index(docs, post, I.field_lengths(ingest.processed(docs)), stats, I.doc_norms(post, stats, n), n)
+#: Folder of the index that a session has built over a corpus.
+_BUILT: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, d: str) -> I.Index:
-    """The same, with the postings and lengths that a ranking reads several times written once."""
-    docs = corpus(spark, d)
-    token_rows = ingest.scratch(spark, ingest.processed(docs).select("doc_id", "field", "field_ord", "tokens", "accentless_tokens"), "ix-rows")
-    post = ingest.scratch(spark, I.postings(token_rows), "ix-postings")
-    stats = ingest.scratch(spark, I.term_stats(post), "ix-stats")
-    n = docs.count()
-    return I.Index(docs, post, I.field_lengths(token_rows), stats, I.doc_norms(post, stats, n), n)
-
-
-def asked(spark: SparkSession, d: str, n: int | None = 2) -> DataFrame:
-    """Passages as queries: their first n words, as the shared SQL has them, or all."""
-    words = X.tokenize(F.col("text"))
-    words = words if n is None else F.slice(words, 1, n)
-    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """The corpus's index, built and saved once a session, then loaded."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/corpus-index-{uuid.uuid4().hex}"
+        docs = scratch(corpus(spark, d), "ix-documents")
+        I.build(docs, scratch(ingest.tokenized(docs), "ix-tokens")).save(path)
+        _BUILT[key] = path
+    return I.load(spark, _BUILT[key])
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as queries."""
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+
+
+def filtered_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as queries with filters: by item_id modulo 6 none, time, difficulty, categories, methods, a blank category."""
+    k = F.col("item_id") % 6
+    none = F.array().cast("array<string>")
+    some = lambda i, *v: F.when(k == i, F.array(*[F.lit(x) for x in v])).otherwise(none)
+    filters = F.struct(
+        F.when(k == 1, F.lit(30)).alias("max_time_minutes"), F.when(k == 2, F.lit("SRC3")).alias("difficulty"), F.when(k == 5, F.array(F.lit(" "))).otherwise(some(3, "EN", "src1")).alias("categories"),
+        none.alias("ingredients"), some(4, "en-x", "dé").alias("cooking_methods"),
+    )
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", filters.alias("filters"))
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as judgments; item_id counts the passages from 0."""
     n = table(spark, d, "benchmark").count()
-    ids = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("_q"))
-    rel = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("relevance"), (F.col("doc_id") % n).alias("_q"))
-    return rel.join(F.broadcast(ids), "_q").select("query_id", "doc_id", "relevance")
+    return table(spark, d, "labels").select((F.col("doc_id") % n).cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("relevance"))
 
 
 # ---- SQL that the oracles share --------------------------------------------------------------
@@ -130,12 +140,12 @@ pos AS (SELECT doc_id, field, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS p
 posts AS (SELECT 'normalized' AS channel, w AS term, field, doc_id, count(*) AS tf, list(p ORDER BY p) AS positions FROM pos GROUP BY ALL
   UNION ALL SELECT 'accentless', {FOLD.format('w')}, field, doc_id, count(*), list(p ORDER BY p) FROM pos GROUP BY ALL),
 stats AS (SELECT channel, term, count(DISTINCT doc_id) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY ALL)"""
-_QTOK = rf"regexp_extract_all({norm('text')}, '[\p{{L}}\p{{N}}]+')[1:2]"
+_QTOK = rf"regexp_extract_all({norm('text')}, '[\p{{L}}\p{{N}}]+')"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 QUERIES = rf""",
-q0 AS (SELECT item_id::VARCHAR AS query_id, {_QTOK} AS t FROM benchmark),
-q1 AS (SELECT query_id, t, list_filter(t, lambda x: x NOT IN ({_STOP}) AND {FOLD.format('x')} NOT IN ({_STOP})) AS kept FROM q0),
-q2 AS (SELECT query_id, CASE WHEN len(kept) > 0 THEN kept ELSE t END AS terms, CASE WHEN array_to_string(t, ' ') = {FOLD.format("array_to_string(t, ' ')")} THEN 'accentless' ELSE 'normalized' END AS channel FROM q1),
+q0 AS (SELECT item_id::VARCHAR AS query_id, {_QTOK} AS t, {norm('text')} AS full_text FROM benchmark),
+q1 AS (SELECT query_id, t, full_text, list_filter(t, lambda x: x NOT IN ({_STOP}) AND {FOLD.format('x')} NOT IN ({_STOP})) AS kept FROM q0),
+q2 AS (SELECT query_id, CASE WHEN len(kept) > 0 THEN kept ELSE t END AS terms, CASE WHEN full_text = {FOLD.format("full_text")} THEN 'accentless' ELSE 'normalized' END AS channel FROM q1),
 q3 AS (SELECT query_id, channel, unnest(terms) AS w, generate_subscripts(terms, 1) - 1 AS term_pos, len(terms) AS n_terms FROM q2),
 qpos AS (SELECT query_id, channel, CASE WHEN channel = 'accentless' THEN {FOLD.format('w')} ELSE w END AS term, term_pos, n_terms FROM q3),
 qterms AS (SELECT query_id, channel, term, count(*) AS qtf FROM qpos GROUP BY ALL)"""
@@ -147,9 +157,10 @@ parts AS (SELECT query_id, term, qtf, df, p.doc_id, field, {_W} * tf / greatest(
   FROM qterms JOIN stats USING (channel, term) JOIN posts p USING (channel, term) JOIN lens USING (doc_id, field) JOIN avgs USING (field)),
 shares AS (SELECT *, sum(part) OVER (PARTITION BY query_id, term, doc_id) AS ctf FROM parts),
 base AS (SELECT query_id, doc_id, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * ctf / (1.2 + ctf) * (1 + ln(qtf)) * part / ctf) AS s FROM shares, n GROUP BY ALL),
-full_ AS (SELECT query_id, p.doc_id, field, max(n_terms) AS m, list(positions ORDER BY term_pos) AS l FROM qpos JOIN posts p USING (channel, term) WHERE n_terms = 2 GROUP BY ALL HAVING count(*) = 2),
-evid AS (SELECT query_id, doc_id, field, len(list_filter(l[1], lambda x: list_contains(l[2], x + 1))) AS exact,
-  greatest(0, list_min(list_transform(list_distinct(flatten(l)), lambda x: x - least(coalesce(list_max(list_filter(l[1], lambda y: y <= x)), -1000000000), coalesce(list_max(list_filter(l[2], lambda y: y <= x)), -1000000000)))) - 1) AS gap FROM full_),
+cand AS (SELECT query_id, doc_id, field, any_value(n_terms) AS m FROM qpos JOIN posts p USING (channel, term) WHERE n_terms >= 2 GROUP BY query_id, doc_id, field HAVING count(*) = any_value(n_terms)),
+full_ AS (SELECT query_id, doc_id, field, m, list(positions ORDER BY term_pos) AS l FROM cand JOIN qpos USING (query_id) JOIN posts p USING (channel, term, doc_id, field) GROUP BY ALL),
+evid AS (SELECT query_id, doc_id, field, len(list_filter(l[1], lambda x: len(list_filter(range(1, m), lambda i: list_contains(l[i + 1], x + i))) = m - 1)) AS exact,
+  greatest(0, list_min(list_transform(list_distinct(flatten(l)), lambda x: x - list_min(list_transform(l, lambda t: coalesce(list_max(list_filter(t, lambda y: y <= x)), -1000000000))))) - (m - 1)) AS gap FROM full_),
 scored AS (SELECT query_id, doc_id, field, sum(s) AS s FROM (SELECT * FROM base UNION ALL SELECT query_id, doc_id, field, 2.0 * exact * {_W} + {_W} / (gap + 1.0) FROM evid) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, sum(s) AS score FROM scored GROUP BY ALL),
 bm25f AS (SELECT query_id, bm.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, title, bm.doc_id) AS rank FROM bm JOIN docs USING (doc_id))"""
@@ -159,15 +170,21 @@ qw AS (SELECT query_id, channel, term, ln((n + 1) / (df + 1)) + 1 AS idf, (1 + l
 qn AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qnorm FROM qw),
 tf_ AS (SELECT query_id, p.doc_id, sum(w * (1 + ln(tf)) * idf * {_W} / (norm * qnorm)) AS score FROM qn JOIN posts p USING (channel, term) JOIN norms USING (channel, doc_id) GROUP BY ALL),
 tfidf AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, title, doc_id) AS rank FROM tf_ JOIN docs USING (doc_id))"""
-QRELS = """qn_ AS (SELECT count(*) AS n FROM benchmark), qid AS (SELECT item_id::VARCHAR AS query_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark),
-qrels AS (SELECT query_id, doc_id::VARCHAR AS doc_id, quality + 1 - toxic AS relevance FROM labels, qn_ JOIN qid ON true WHERE i = doc_id % qn_.n)"""
-RUN = BM25F + ", " + QRELS + """,
-j AS (SELECT b.query_id, b.doc_id, b.rank, coalesce(relevance, 0) AS rel FROM bm25f b LEFT JOIN qrels USING (query_id, doc_id)),
+QRELS = "qrels AS (SELECT (doc_id % (SELECT count(*) FROM benchmark))::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, quality + 1 - toxic AS relevance FROM labels)"
+_METRICS = """,
+j AS (SELECT b.query_id, b.doc_id, b.rank, coalesce(relevance, 0) AS rel FROM run b LEFT JOIN qrels USING (query_id, doc_id)),
 jr AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM j),
 tot AS (SELECT query_id, count(*) FILTER (relevance > 0) AS r FROM qrels GROUP BY ALL),
 idl AS (SELECT query_id, sum((2 ** relevance - 1) / log2(place + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS place FROM qrels) WHERE place <= 10 GROUP BY ALL),
 ms AS (SELECT query_id, count(*) FILTER (rel > 0 AND rank <= 10) / 10.0 AS p10, coalesce(sum(hits / rank) FILTER (rel > 0), 0) AS ap, count(*) FILTER (rel > 0 AND rank <= 20) AS r20,
-  coalesce(1.0 / min(rank) FILTER (rel > 0 AND rank <= 10), 0) AS rr, coalesce(sum((2 ** rel - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM jr GROUP BY ALL)"""
+  coalesce(1.0 / min(rank) FILTER (rel > 0 AND rank <= 10), 0) AS rr, coalesce(sum((2 ** rel - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, count(*) AS found FROM jr GROUP BY ALL)"""
+RUN = BM25F + ", " + QRELS + ", run AS (SELECT query_id, doc_id, rank FROM bm25f)" + _METRICS
+_BOTH = BM25F + ", " + TFIDF[len(TOKENS + QUERIES) + 2 :]
+#: Documents that pass the filters of filtered_queries.
+ALLOWED = """allowed AS (SELECT item_id::VARCHAR AS query_id, doc_id FROM benchmark, docs WHERE CASE item_id % 6 WHEN 0 THEN true WHEN 1 THEN cook <= 30 WHEN 2 THEN source = 'src3'
+  WHEN 3 THEN (contains(lang, 'en') OR contains(source, 'en')) AND (contains(lang, 'src1') OR contains(source, 'src1')) WHEN 4 THEN contains('en-x', lang) OR contains('de', lang) ELSE false END)"""
+_KEPT = """{0}f AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM {0} JOIN allowed USING (query_id, doc_id))"""
+FILTERED = _BOTH + ", " + ALLOWED + ", " + _KEPT.format("bm25f") + ", " + _KEPT.format("tfidf")
 
 
 # ---- ranking ---------------------------------------------------------------------------------
@@ -177,73 +194,109 @@ def _r6(c: str):
     return F.round(c, 6).alias(c)
 
 
-def _bm(spark: SparkSession, d: str, ix: I.Index | None = None) -> DataFrame:
-    return R.bm25f(ix or stored(spark, d), Q.process(asked(spark, d)))
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
+def _bm(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25f(stored(spark, d), Q.process(asked(spark, d)))
 
 
-def _tf(spark: SparkSession, d: str, ix: I.Index | None = None) -> DataFrame:
-    return R.tfidf(ix or stored(spark, d), Q.process(asked(spark, d)))
+def _tf(spark: SparkSession, d: str) -> DataFrame:
+    return R.tfidf(stored(spark, d), Q.process(asked(spark, d)))
 
 
 @query(f"WITH {BM25F} SELECT query_id, doc_id, round(score, 6) AS score FROM bm25f")
 def bm25f_rank(spark, d):
-    return _bm(spark, d).select("query_id", "doc_id", _r6("score"))
+    return R.scored_bm25f(stored(spark, d), Q.process(asked(spark, d))).select("query_id", "doc_id", _r6("score"))
 
 
 @query(f"WITH {TFIDF} SELECT query_id, doc_id, round(score, 6) AS score FROM tfidf")
 def tfidf_rank(spark, d):
-    return _tf(spark, d).select("query_id", "doc_id", _r6("score"))
+    return R.scored_tfidf(stored(spark, d), Q.process(asked(spark, d))).select("query_id", "doc_id", _r6("score"))
 
 
 @query(f"WITH {BM25F} SELECT query_id, doc_id, field, round(s, 6) AS score FROM scored")
 def bm25f_field_scores(spark, d):
-    return _bm(spark, d).select("query_id", "doc_id", F.explode("field_scores").alias("field", "score")).select("query_id", "doc_id", "field", _r6("score"))
+    found = R.scored_bm25f(stored(spark, d), Q.process(asked(spark, d)))
+    return found.select("query_id", "doc_id", F.explode("field_scores").alias("field", "score")).select("query_id", "doc_id", "field", _r6("score"))
+
+
+@query(f"WITH {BM25F}, m AS (SELECT DISTINCT query_id, doc_id, term, field FROM qterms JOIN posts USING (channel, term)) SELECT query_id, doc_id, count(DISTINCT term) AS n_terms, md5(string_agg(DISTINCT term, ' ' ORDER BY term)) AS terms, string_agg(DISTINCT field, ' ' ORDER BY field) AS fields FROM m GROUP BY ALL")
+def matched_terms(spark, d):
+    found = R.scored_bm25f(stored(spark, d), Q.process(asked(spark, d)))
+    return found.select("query_id", "doc_id", F.size("matched_terms").cast("long").alias("n_terms"), F.md5(F.array_join("matched_terms", " ").cast("binary")).alias("terms"), F.array_join("matched_fields", " ").alias("fields"))
 
 
 @query(f"WITH {BM25F} SELECT query_id, doc_id, field, exact::BIGINT AS exact, gap::BIGINT AS gap FROM evid")
 def phrase_evidence(spark, d):
-    return R.phrase_evidence(whole(spark, d), Q.process(asked(spark, d))).select("query_id", "doc_id", "field", F.col("exact").cast("long").alias("exact"), F.col("gap").cast("long").alias("gap"))
+    return R.phrase_evidence(stored(spark, d), Q.process(asked(spark, d))).select("query_id", "doc_id", "field", _long("exact"), _long("gap"))
 
 
-@query(f"WITH {BM25F} SELECT query_id, rank, doc_id FROM bm25f WHERE rank > 5 AND rank <= 10")
-def pagination(spark, d):
-    return _bm(spark, d).filter("rank > 5 and rank <= 10").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
+#: Queries of four words: every place of a passage begins one, so repeats and common words occur.
+_PHRASES = rf""",
+q0 AS (SELECT item_id::VARCHAR || '-' || i AS query_id, t[i:i + 3] AS t, array_to_string(t[i:i + 3], ' ') AS full_text FROM (SELECT item_id, {_QTOK} AS t, unnest(range(1, len({_QTOK}) + 1)) AS i FROM benchmark)),"""
+_SHORT = BM25F.replace(QUERIES, _PHRASES + QUERIES[QUERIES.index("\nq1 AS") :])
 
 
-@query()
-def bm25f_rank_passages(spark, d):
-    """Whole passages: the shared SQL has evidence for two terms only."""
-    return R.bm25f(stored(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", _r6("score"))
+@query(f"WITH {_SHORT} SELECT query_id, doc_id, field, exact::BIGINT AS exact, gap::BIGINT AS gap FROM evid")
+def phrase_evidence_short(spark, d):
+    """Every run of four words (fewer at a passage's end) as a query of its own."""
+    words = X.tokenize(F.col("text"))
+    cut = table(spark, d, "benchmark").select("item_id", words.alias("t")).select("item_id", "t", F.posexplode("t").alias("i", "w"))
+    runs = cut.select(F.concat_ws("-", "item_id", F.col("i") + 1).alias("query_id"), F.array_join(F.slice("t", F.col("i") + 1, 4), " ").alias("text"))
+    return R.phrase_evidence(stored(spark, d), Q.process(runs)).select("query_id", "doc_id", "field", _long("exact"), _long("gap"))
+
+
+def _first(spark: SparkSession, d: str) -> str:
+    return asked(spark, d).filter("query_id = '0'").first().text
 
 
-@query()
-def tfidf_rank_passages(spark, d):
-    return R.tfidf(stored(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", _r6("score"))
+@query(f"WITH {BM25F} SELECT rank, doc_id, round(score, 6) AS score FROM bm25f WHERE query_id = '0' AND rank <= 10")
+def search_bm25f(spark, d):
+    """The top ten of one query."""
+    return R.search(stored(spark, d), _first(spark, d), "bm25f", 10).select(_long("rank"), "doc_id", _r6("score"))
 
 
-@query()
-def phrase_evidence_passages(spark, d):
-    return R.phrase_evidence(whole(spark, d), Q.process(asked(spark, d, None))).select("query_id", "doc_id", "field", F.col("exact").cast("long").alias("exact"), F.col("gap").cast("long").alias("gap"))
+@query(f"WITH {TFIDF} SELECT rank, doc_id, round(score, 6) AS score FROM tfidf WHERE query_id = '0' AND rank <= 10")
+def search_tfidf(spark, d):
+    return R.search(stored(spark, d), _first(spark, d), "tfidf", 10).select(_long("rank"), "doc_id", _r6("score"))
+
+
+@query(f"WITH {BM25F} SELECT b.rank, b.doc_id, round(score, 6) AS score, title, lang || ';' || source AS categories, source AS difficulty, cook AS cook_time_minutes, count(*) OVER ()::BIGINT AS page_rows, (SELECT count(*) FROM bm25f WHERE query_id = '0') AS total_results FROM bm25f b JOIN docs USING (doc_id) WHERE query_id = '0' AND rank > 10 AND rank <= 20")
+def pagination(spark, d):
+    """The second page of one query as a client sees it."""
+    ix = stored(spark, d)
+    _, found = R.found_by_one(ix, _first(spark, d), "bm25f")
+    rows, where = serve.page(found, 2, 10)
+    shown = serve.serialized(rows, ix.documents, [])
+    return shown.select(
+        _long("rank"), "doc_id", "score", "title", F.array_join("categories", ";").alias("categories"), "difficulty", _long("cook_time_minutes"),
+        F.lit(min(10, max(0, where["total_results"] - 10))).cast("long").alias("page_rows"), F.lit(where["total_results"]).cast("long").alias("total_results"),
+    )
 
 
 @query(f"WITH {BM25F}, x AS (SELECT query_id, unnest([lang, source]) AS value, 'categories' AS facet FROM bm25f JOIN docs USING (doc_id) UNION ALL SELECT query_id, source, 'difficulties' FROM bm25f JOIN docs USING (doc_id) UNION ALL SELECT query_id, lang, 'cooking_methods' FROM bm25f JOIN docs USING (doc_id)) SELECT query_id, facet, value, count(*) AS count FROM x GROUP BY ALL")
 def facets(spark, d):
     ix = stored(spark, d)
-    hits = _bm(spark, d, ix).select("query_id", "doc_id").join(ix.documents.select("doc_id", "categories", "difficulty", "cooking_method"), "doc_id")
-    part = lambda n, c: hits.select("query_id", F.lit(n).alias("facet"), c.alias("value"))
-    every = part("categories", F.explode("categories")).unionByName(part("difficulties", F.col("difficulty"))).unionByName(part("cooking_methods", F.col("cooking_method")))
-    return every.groupBy("query_id", "facet", "value").agg(F.count("*").alias("count"))
+    hits = R.scored_bm25f(ix, Q.process(asked(spark, d))).select("query_id", "doc_id")
+    return serve.facets(hits.join(ix.documents.select("doc_id", *serve.FACETS.values()), "doc_id"), ["query_id"])
+
 
+_FACETS = "SELECT value, 'categories' AS facet, count(*) AS count FROM (SELECT unnest([lang, source]) AS value FROM documents) GROUP BY ALL UNION ALL SELECT source, 'difficulties', count(*) FROM documents GROUP BY ALL UNION ALL SELECT lang, 'cooking_methods', count(*) FROM documents GROUP BY ALL"
 
-@query("SELECT value, 'categories' AS facet, count(*) AS count FROM (SELECT unnest([lang, source]) AS value FROM documents) GROUP BY ALL UNION ALL SELECT source, 'difficulties', count(*) FROM documents GROUP BY ALL UNION ALL SELECT lang, 'cooking_methods', count(*) FROM documents GROUP BY ALL")
+
+@query(f"SELECT facet, value, count, row_number() OVER (ORDER BY facet, count DESC, lower(value), value) AS place FROM ({_FACETS})")
 def corpus_facets(spark, d):
-    return serve.facets(corpus(spark, d))
+    """Values in the order that a client gets: at most some hundred rows are numbered."""
+    rows = serve.facets(corpus(spark, d)).orderBy(*serve.facet_order()).collect()
+    return spark.createDataFrame([(r.facet, r.value, r["count"], i) for i, r in enumerate(rows, 1)], "facet string, value string, count long, place long")
 
 
 @query(f"WITH {BM25F}, ok AS (SELECT doc_id FROM docs WHERE cook <= 30 AND lang = 'en') SELECT query_id, doc_id, round(score, 6) AS score FROM bm JOIN ok USING (doc_id)")
 def filtered_rank(spark, d):
-    ix = stored(spark, d)
-    return R.bm25f(ix, Q.process(asked(spark, d)), filters=S.Filters(max_time_minutes=30, categories=("EN",), cooking_methods=("en",))).select("query_id", "doc_id", _r6("score"))
+    chosen = S.Filters(max_time_minutes=30, categories=("EN",), cooking_methods=("en",))
+    return R.scored_bm25f(stored(spark, d), Q.process(asked(spark, d)), filters=chosen).select("query_id", "doc_id", _r6("score"))
 
 
 # ---- evaluation ------------------------------------------------------------------------------
@@ -255,6 +308,8 @@ def _metrics(spark, d):
 
 _EACH = "SELECT item_id::VARCHAR AS query_id, {0} FROM benchmark b LEFT JOIN ms ON ms.query_id = b.item_id::VARCHAR LEFT JOIN tot ON tot.query_id = b.item_id::VARCHAR LEFT JOIN idl ON idl.query_id = b.item_id::VARCHAR"
 _ALL = "round(coalesce(p10, 0), 6) AS precision_at_10, round(CASE WHEN r > 0 THEN coalesce(ap, 0) / r ELSE 0 END, 6) AS average_precision, round(CASE WHEN r > 0 THEN coalesce(r20, 0) / r ELSE 0 END, 6) AS recall_at_20, round(coalesce(rr, 0), 6) AS reciprocal_rank_at_10, round(CASE WHEN best > 0 THEN coalesce(dcg, 0) / best ELSE 0 END, 6) AS ndcg_at_10"
+_EXACT = _ALL.replace("round(", "(").replace(", 6)", ")")
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in M.METRICS)
 
 
 @query(f"WITH {RUN} " + _EACH.format(_ALL))
@@ -262,15 +317,45 @@ def evaluation_metrics(spark, d):
     return _metrics(spark, d).select("query_id", *[_r6(m) for m in M.METRICS])
 
 
-@query(f"WITH {RUN}, e AS (" + _EACH.format(_ALL.replace("round(", "(").replace(", 6)", ")")) + ") SELECT " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in M.METRICS) + " FROM e")
+@query(f"WITH {RUN}, e AS (" + _EACH.format(_EXACT) + f") SELECT {_MEANS} FROM e")
 def mean_metrics(spark, d):
     return M.mean_metrics(_metrics(spark, d)).select(*[_r6(m) for m in M.METRICS])
 
 
-@query(f"WITH {BM25F}, {TFIDF[len(TOKENS + QUERIES) + 2:]}, u AS (SELECT query_id, doc_id, rank FROM bm25f WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM tfidf WHERE rank <= 20) SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best_rank FROM u GROUP BY ALL")
+def _model(name: str, rest: str) -> str:
+    """The metrics' SQL over one model's filtered run."""
+    return f"WITH {FILTERED}, {QRELS}, run AS (SELECT query_id, doc_id, rank FROM {name}f)" + _METRICS + rest
+
+
+_REPORT = _EACH.format(_ALL + ", coalesce(found, 0) AS result_count, coalesce(r, 0) AS relevant_count, coalesce(t10, '') AS top_10, b.text AS query") + " LEFT JOIN (SELECT query_id AS q, string_agg(doc_id, ' ' ORDER BY rank) AS t10 FROM run WHERE rank <= 10 GROUP BY ALL) ON q = b.item_id::VARCHAR"
+
+
+def _rows(spark, d):
+    queries = filtered_queries(spark, d)
+    ranked = scratch(pipelines.rank_all(stored(spark, d), queries), "eval-ranked")
+    return pipelines.evaluate_rows(ranked, queries, judged(spark, d))
+
+
+@query("SELECT 'bm25f' AS model, * FROM (" + _model("bm25f", f" {_REPORT}") + ") UNION ALL SELECT 'tfidf', * FROM (" + _model("tfidf", f" {_REPORT}") + ")")
+def evaluation_filtered(spark, d):
+    """The report's rows of both models, each query under filters of its own."""
+    return _rows(spark, d).select("model", "query_id", "query", *[_r6(m) for m in M.METRICS], "result_count", "relevant_count", F.array_join("top_10_doc_ids", " ").alias("top_10"))
+
+
+@query("SELECT " + ", ".join(f"round(b.{m} - t.{m}, 6) AS {m}" for m in M.METRICS) + " FROM (" + _model("bm25f", ", e AS (" + _EACH.format(_EXACT) + f") SELECT {_MEANS.replace(', 6)', ', 12)')} FROM e") + ") b, (" + _model("tfidf", ", e AS (" + _EACH.format(_EXACT) + f") SELECT {_MEANS.replace(', 6)', ', 12)')} FROM e") + ") t")
+def rank_compare_delta(spark, d):
+    return M.compare(_rows(spark, d), "bm25f", "tfidf").select(*[_r6(m) for m in M.METRICS])
+
+
+@query(f"WITH {_BOTH}, u AS (SELECT query_id, doc_id, rank FROM bm25f WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM tfidf WHERE rank <= 20) SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best_rank FROM u GROUP BY ALL")
 def rrf_pool(spark, d):
-    ix = stored(spark, d)
-    return M.fused_pool([_bm(spark, d, ix), _tf(spark, d, ix)], 20).select("query_id", "doc_id", _r6("score"), F.col("best_rank").cast("long").alias("best_rank"))
+    return M.fused_pool([_bm(spark, d), _tf(spark, d)], 20).select("query_id", "doc_id", _r6("score"), _long("best_rank"))
+
+
+@query(f"WITH {FILTERED}, {QRELS}, u AS (SELECT query_id, doc_id, rank FROM bm25ff WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM tfidff WHERE rank <= 5), p AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS s FROM u GROUP BY ALL) SELECT query_id, doc_id, round(s, 6) AS score, title FROM p JOIN docs USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.query_id = p.query_id AND q.doc_id = p.doc_id)")
+def judging_candidates(spark, d):
+    """What is left to judge of the pools of filtered queries."""
+    return pipelines.judging_candidates(stored(spark, d), filtered_queries(spark, d), judged(spark, d)).select("query_id", "doc_id", _r6("score"), "title")
 
 
 @query(f"WITH {BM25F}, {QRELS} SELECT query_id, doc_id FROM bm25f b WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM qrels q WHERE q.query_id = b.query_id AND q.doc_id = b.doc_id)")
@@ -278,10 +363,36 @@ def judged_anti_join(spark, d):
     return M.to_judge(_bm(spark, d).filter("rank <= 20").select("query_id", "doc_id"), judged(spark, d))
 
 
+@query(f"WITH {QRELS}, m AS (SELECT query_id, doc_id, CASE WHEN doc_id::BIGINT % 3 = 0 THEN 0 ELSE relevance END AS relevance FROM qrels) SELECT query_id, doc_id, relevance::BIGINT AS relevance FROM m")
+def merged_judgments(spark, d):
+    """Judgments written and read again, then a third of them replaced."""
+    path = f"{shared_dir(spark)}/judgments-{uuid.uuid4().hex}"
+    files.save_judgments(judged(spark, d), path)
+    old = files.load_judgments(spark, path)
+    new = old.filter("doc_id % 3 = 0").withColumn("relevance", F.lit(0))
+    return M.merge_judgments(old, new).select("query_id", "doc_id", _long("relevance"))
+
+
+@query(f"WITH {QRELS} SELECT item_id::VARCHAR || x AS query_id FROM benchmark, (SELECT unnest(['', '-new']) AS x) WHERE NOT EXISTS (SELECT 1 FROM qrels WHERE relevance > 0 AND query_id = item_id::VARCHAR || x)")
+def unjudged_queries(spark, d):
+    """Queries without a positive judgment, half of them planted."""
+    q = asked(spark, d)
+    return M.unjudged(q.unionByName(q.withColumn("query_id", F.concat("query_id", F.lit("-new")))), judged(spark, d))
+
+
+@query("SELECT item_id::VARCHAR AS query_id, text, CASE item_id % 6 WHEN 1 THEN 30 END AS max_time, CASE item_id % 6 WHEN 3 THEN 'EN|src1' WHEN 5 THEN ' ' ELSE '' END AS categories FROM benchmark")
+def queries_file(spark, d):
+    """Queries with filters, written as JSON lines (gzip) and read again with their checks."""
+    path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    files.write_jsonl(filtered_queries(spark, d), path, "gzip")
+    return files.load_queries(spark, path).select("query_id", "text", _long("filters.max_time_minutes").alias("max_time"), F.array_join("filters.categories", "|").alias("categories"))
+
+
 @query("SELECT round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50 FROM events")
 def latency_percentile(spark, d):
-    p = lambda x: F.round(F.percentile("value", x), 6)
-    return table(spark, d, "events").agg(p(0.95).alias("p95"), p(0.5).alias("p50"))
+    values = table(spark, d, "events")
+    p95, p50 = (M.percentile(values, "value", p).withColumnRenamed("percentile", f"p{p}").withColumn("_one", F.lit(1)) for p in (95, 50))
+    return p95.join(p50, "_one").select(_r6("p95"), _r6("p50"))
 
 
 # ---- index -----------------------------------------------------------------------------------
@@ -289,39 +400,48 @@ def latency_percentile(spark, d):
 
 @query(f"WITH {TOKENS} SELECT channel, term, field, doc_id, tf::BIGINT AS tf, positions[1]::BIGINT AS first_position, positions[-1]::BIGINT AS last_position FROM posts")
 def postings(spark, d):
-    return I.postings(rows(spark, d)).select("channel", "term", "field", "doc_id", F.col("tf").cast("long").alias("tf"), F.element_at("positions", 1).cast("long").alias("first_position"), F.element_at("positions", -1).cast("long").alias("last_position"))
+    made = I.by_field(I.postings(tokens(spark, d)))
+    return made.select("channel", "term", "field", "doc_id", _long("tf"), F.element_at("positions", 1).cast("long").alias("first_position"), F.element_at("positions", -1).cast("long").alias("last_position"))
+
+
+@query(f"WITH {TOKENS} SELECT field, doc_id, tf::BIGINT AS tf, array_to_string(positions, ' ') AS positions FROM posts WHERE channel = 'accentless' AND term = 'de' UNION ALL SELECT 'title only', doc_id, tf, array_to_string(positions, ' ') FROM posts WHERE channel = 'normalized' AND term = 'the' AND field = 'title'")
+def postings_lookup(spark, d):
+    """A term's postings in all fields of one channel, and in one field of the other."""
+    ix = stored(spark, d)
+    show = lambda df, name: df.select(name.alias("field"), "doc_id", _long("tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
+    return show(I.get_postings(ix, "de", channel="accentless"), F.col("field")).unionByName(show(I.get_postings(ix, "the", "title"), F.lit("title only")))
 
 
 @query(f"WITH {TOKENS} SELECT channel, term, df, cf FROM stats")
 def document_frequency(spark, d):
-    return I.term_stats(I.postings(rows(spark, d)))
+    return I.term_stats(I.postings(tokens(spark, d)))
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT term FROM stats WHERE channel = 'accentless'")
 def vocabulary(spark, d):
-    return I.terms(whole(spark, d), "accentless")
+    return I.terms(stored(spark, d), "accentless")
 
 
 @query(f"WITH {TOKENS} SELECT (SELECT n FROM n) AS document_count, (SELECT count(*) FROM stats WHERE channel = 'normalized') AS normalized_vocabulary, (SELECT count(*) FROM stats WHERE channel = 'accentless') AS accentless_vocabulary, (SELECT count(*) FROM posts) AS posting_count, (SELECT sum(len)::BIGINT FROM lens) AS token_count")
 def index_statistics(spark, d):
+    """Of the index that was saved and loaded."""
     return I.statistics(stored(spark, d))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, field, len::BIGINT AS len FROM lens")
 def field_lengths(spark, d):
-    return I.field_lengths(rows(spark, d)).withColumn("len", F.col("len").cast("long"))
+    return I.field_lengths(tokens(spark, d)).withColumn("len", F.col("len").cast("long"))
 
 
 @query(f"WITH {TOKENS} SELECT field, round(sum(len) / max(n), 6) AS avg_len FROM lens, n GROUP BY field")
 def average_field_length(spark, d):
-    docs = corpus(spark, d)
-    return I.average_lengths(I.field_lengths(rows(spark, d)), docs.count()).select("field", _r6("avg_len"))
+    return I.average_lengths(I.field_lengths(tokens(spark, d)), corpus(spark, d).count()).select("field", _r6("avg_len"))
 
 
 @query(f"WITH {TOKENS} SELECT channel, term, round(ln((n + 1) / (df + 1)) + 1, 6) AS tfidf_idf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS bm25_idf FROM stats, n")
 def term_idf(spark, d):
     n = corpus(spark, d).count()
-    return I.term_stats(I.postings(rows(spark, d))).select("channel", "term", F.round(I.idf_tfidf(n), 6).alias("tfidf_idf"), F.round(I.idf_bm25(n), 6).alias("bm25_idf"))
+    return I.term_stats(I.postings(tokens(spark, d))).select("channel", "term", F.round(I.idf_tfidf(n), 6).alias("tfidf_idf"), F.round(I.idf_bm25(n), 6).alias("bm25_idf"))
 
 
 @query(f"WITH {TFIDF} SELECT channel, doc_id, round(norm, 6) AS norm FROM norms")
@@ -359,14 +479,61 @@ def stopword_filter(spark, d):
 @query(f"WITH {CORPUS}{QUERIES} SELECT query_id, channel, array_to_string(terms, ' ') AS terms FROM q2")
 def query_channel(spark, d):
     got = Q.process(asked(spark, d))
-    raw = F.when(F.size(X.ranking_terms(F.col("tokens"))) > 0, X.ranking_terms(F.col("tokens"))).otherwise(F.col("tokens"))
-    return got.select("query_id", "channel", F.array_join(raw, " ").alias("terms"))
+    return got.select("query_id", "channel", F.array_join(Q._without_stopwords(F.col("tokens"), X.STOPWORDS), " ").alias("terms"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(' ' || strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) || ' ', ' hai san ') THEN 5 ELSE 0 END AS n_expanded FROM conversations")
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'cá tôm mực nghêu ốc' WHEN 1 THEN 'tom muc ngheu oc' ELSE '' END AS expanded FROM benchmark""")
 def expansion(spark, d):
-    q = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "conv_id", "turn", "text")
-    return Q.process(q, Q.EXPANSIONS).select("conv_id", "turn", F.size("expanded_terms").alias("n_expanded"))
+    """The concept planted after a passage, as an accent-less query with one of its terms, and cut by punctuation."""
+    k = F.col("item_id") % 4
+    text = F.when(k == 0, F.concat("text", F.lit(" món hải  SẢN nướng"))).when(k == 1, F.lit("hai san ca")).when(k == 2, F.concat("text", F.lit(" hải, sản!"))).otherwise(F.col("text"))
+    q = table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("query_id"), text.alias("text"))
+    return Q.process(q, Q.EXPANSIONS).select("item_id", F.array_join("expanded_terms", " ").alias("expanded"))
+
+
+@query("""SELECT item_id, CASE item_id % 2 WHEN 0 THEN 1 ELSE 3 END::BIGINT AS qtf, CASE item_id % 2 WHEN 0 THEN 0.35 ELSE 1 END::DOUBLE AS boost, CASE item_id % 2 WHEN 0 THEN 'ngheu' ELSE 'muc' END AS term FROM benchmark""")
+def term_boosts(spark, d):
+    """Frequency and boost of a term that an expansion adds, and of one asked three times (which the expansion then leaves out)."""
+    even = F.col("item_id") % 2 == 0
+    q = table(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("query_id"), F.when(even, "hai san").otherwise("muc hai san muc muc").alias("text"))
+    got = Q.query_terms(Q.process(q, Q.EXPANSIONS)).filter(F.col("term") == F.when(F.col("query_id").cast("long") % 2 == 0, "ngheu").otherwise("muc"))
+    return got.select(F.col("query_id").cast("long").alias("item_id"), "qtf", "boost", "term")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({norm('text')}, ','), lambda x: replace(trim(x), ' ', '_')), lambda x: x <> ''), ' ') AS tokens FROM documents")
+def segmented_tokens(spark, d):
+    """Tokens of a segmenter of one's own: here, what commas part."""
+    return _docs(spark, d).select("doc_id", F.array_join(X.tokenize_with(lambda t: t.split(","), X.normalize_text(F.col("text"))), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, trim({fold("string_split(text, chr(10))[1]")}, ' :.-') AS label FROM documents")
+def comparison_form(spark, d):
+    return _docs(spark, d).select("doc_id", X.comparison_form(F.get(F.split("text", "\n"), F.lit(0))).alias("label"))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, md5(concat_ws(chr(10), nullif(title, ''), nullif(description, ''), lang, nullif(array_to_string(instructions, ' '), ''))) AS digest FROM docs")
+def searchable_text(spark, d):
+    made = X.searchable_text(["title", "description", "cooking_method", "servings"], ["ingredients", "instructions"])
+    return corpus(spark, d).select("doc_id", F.md5(made.cast("binary")).alias("digest"))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, nullif(title, '') AS title, nullif(description, '') AS description FROM docs")
+def optional_text(spark, d):
+    return corpus(spark, d).select("doc_id", X.optional(F.col("title")).alias("title"), X.optional(F.col("description")).alias("description"))
+
+
+_JSON_LIST = "'[' || array_to_string(list_transform({0}, lambda x: to_json(x)::VARCHAR), ', ') || ']'"
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, sha256({norm("'[' || to_json(title)::VARCHAR || ', ' || " + _JSON_LIST.format("[lang, source]") + " || ', ' || " + _JSON_LIST.format("instructions") + " || ']'")}) AS content_hash FROM docs")
+def content_hash(spark, d):
+    return corpus(spark, d).select("doc_id", H.content_hash(F.col("title"), F.col("categories"), F.col("instructions")).alias("content_hash"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_partkey % 4 = 0 THEN NULL ELSE CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END + CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 100 END END::BIGINT AS minutes FROM part")
+def total_time(spark, d):
+    prep, cook = F.when(F.col("p_size") % 3 != 0, F.col("p_size")), F.when(F.col("p_partkey") % 4 != 0, (F.col("p_partkey") % 100).cast("int"))
+    return table(spark, d, "part").select("p_partkey", H.total_time(prep, cook).cast("long").alias("minutes"))
 
 
 _URL = r"regexp_extract(trim(url), '^([^:/?#]+)://([^/?#]*)([^?#]*)', {0})"
@@ -416,6 +583,28 @@ def filter_difficulty(spark, d):
     return Q.filter_documents(corpus(spark, d), S.Filters(difficulty="SRC3"))
 
 
+def goods(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as documents with ingredients: brand, type and the words of the name."""
+    made = table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("doc_id"), F.concat(F.array("p_brand", "p_type"), F.split("p_name", " ")).alias("ingredients"), F.array("p_type").alias("categories"), F.col("p_brand").alias("difficulty"),
+        F.lit(None).cast("string").alias("cooking_method"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("prep_time_minutes"), F.when(F.col("p_size") % 3 == 0, F.lit(5)).alias("cook_time_minutes"),
+    )
+    return ingest.with_keys(made)
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id FROM part WHERE (contains(lower(p_brand), '1') OR contains(lower(p_type), '1') OR contains(lower(p_name), '1')) AND (contains(lower(p_brand), 'an') OR contains(lower(p_type), 'an') OR contains(lower(p_name), 'an'))")
+def filter_ingredients(spark, d):
+    return Q.filter_documents(goods(spark, d), S.Filters(ingredients=("1", "ÁN")))
+
+
+@query("SELECT 'blank' AS name, 0 AS n UNION ALL SELECT 'none', count(*) FROM part UNION ALL SELECT 'time', count(*) FROM part WHERE CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 5 ELSE 0 END <= 20 ELSE false END UNION ALL SELECT 'method', 0")
+def filter_edges(spark, d):
+    """Documents that pass a blank category, no filter at all, a time limit (without any time none passes) and a method they lack."""
+    docs, cases = goods(spark, d), {"blank": S.Filters(categories=(" ",)), "none": S.Filters(difficulty=""), "time": S.Filters(max_time_minutes=20), "method": S.Filters(cooking_methods=("x",))}
+    kept = {name: Q.filter_documents(docs, f) for name, f in cases.items()}
+    return spark.createDataFrame([(name, (docs if df is None else df).count()) for name, df in kept.items()], "name string, n long")
+
+
 # ---- profile, ingest, extraction -------------------------------------------------------------
 
 
@@ -429,9 +618,54 @@ def distribution_scalar(spark, d):
     return C.distribution(table(spark, d, "part"), "p_brand")
 
 
-@query(f"WITH {CORPUS}, f AS (SELECT 'description' AS field, count(*) FILTER (trim(regexp_replace(description, '\\s+', ' ', 'g')) <> '') AS present FROM docs UNION ALL SELECT 'instructions', count(*) FILTER (len(instructions) > 0) FROM docs UNION ALL SELECT 'cook_time_minutes', count(*) FROM docs UNION ALL SELECT 'image_url', 0) SELECT field, present, n - present AS missing, round(present / n, 4) AS ratio FROM f, n")
+@query(f"WITH {CORPUS} SELECT 'sources' AS name, source AS value, count(*) AS count FROM docs GROUP BY ALL UNION ALL SELECT 'categories', value, count(*) FROM (SELECT unnest([lang, source]) AS value FROM docs) GROUP BY ALL UNION ALL SELECT 'cooking_methods', lang, count(*) FROM docs GROUP BY ALL UNION ALL SELECT 'difficulties', source, count(*) FROM docs GROUP BY ALL")
+def corpus_profile(spark, d):
+    return C.distributions(corpus(spark, d))
+
+
+@query(r"SELECT trim(regexp_replace(replace(p_name, ' ', '  '), '^\s+|\s+$', '', 'g')) AS value, count(*) AS count FROM part GROUP BY ALL")
+def distribution_spaces(spark, d):
+    """White space at the ends goes, inside it stays."""
+    return C.distribution(table(spark, d, "part").select(F.concat(F.lit("\t "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(" \n")).alias("name")), "name")
+
+
+@query(f"WITH {CORPUS}, f AS (SELECT 'title' AS field, count(*) FILTER (trim(regexp_replace(title, '{_WS}', ' ', 'g')) <> '') AS present FROM docs UNION ALL SELECT 'description', count(*) FILTER (trim(regexp_replace(description, '{_WS}', ' ', 'g')) <> '') FROM docs UNION ALL SELECT 'ingredients', 0 UNION ALL SELECT 'instructions', count(*) FILTER (len(instructions) > 0) FROM docs UNION ALL SELECT x, count(*) FROM docs, (SELECT unnest(['categories', 'cooking_method', 'total_time_minutes', 'difficulty']) AS x) GROUP BY ALL UNION ALL SELECT 'image_url', 0) SELECT field, present, n - present AS missing, round(present / n, 4) AS ratio FROM f, n")
 def completeness(spark, d):
-    return C.completeness(corpus(spark, d), ("description", "instructions", "cook_time_minutes", "image_url"))
+    return C.completeness(corpus(spark, d))
+
+
+#: What happens to a document's line, by doc_id modulo 12: broken, blank, an unknown key, no title, a negative time; else it is good.
+_GOOD = r"doc_id % 12 > 4 AND trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '\s+', ' ', 'g')) <> ''"
+
+
+def raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as JSON lines in files, some of them spoilt, with furniture among the ingredients and promotional descriptions."""
+    docs = corpus(spark, d)
+    k, n = F.col("doc_id").cast("long") % 12, F.length(F.array_join("instructions", "\n"))
+    odd = F.col("content_hash").substr(1, 1) < "8"
+    record = F.to_json(F.struct(
+        "doc_id", F.when(k != 3, F.col("title")).alias("title"), "url", "source", F.when(odd, F.concat(F.lit(" Gợi ý  Cơm nhà: "), "cooking_method")).otherwise("y").alias("description"),
+        F.array(F.lit("Muỗng:"), F.lit("gram "), F.lit("3 gram"), F.col("cooking_method")).alias("ingredients"), "categories", F.when(k == 4, -1).otherwise(n % 60).cast("int").alias("cook_time_minutes"), "content_hash",
+    ))
+    line = F.when(k == 0, "{bad").when(k == 1, "  ").when(k == 2, F.regexp_replace(record, r"^\{", '{"odd": 1, ')).otherwise(record)
+    path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    docs.select(line.alias("value")).write.text(path)
+    return files.read_lines(spark, path)
+
+
+@query(rf"""WITH g AS (SELECT sha256(text) AS h FROM documents WHERE {_GOOD} GROUP BY text) SELECT (SELECT count(*) FROM documents WHERE doc_id % 12 <> 1) AS input_count, (SELECT count(*) FROM documents WHERE doc_id % 12 <> 1 AND NOT ({_GOOD})) AS invalid_count,
+(SELECT count(*) FROM g) AS output_count, (SELECT count(*) FROM documents WHERE {_GOOD}) - (SELECT count(*) FROM g) AS duplicate_count, (SELECT count(*) FROM g) AS cleaned_count, 2 * (SELECT count(*) FROM g) AS removed_ingredient_artifacts, (SELECT count(*) FROM g WHERE h[1] < '8') AS cleared_promotional_descriptions""")
+def ingest_report(spark, d):
+    """All counters of a run over spoilt lines."""
+    _, report = ingest.ingest(raw_lines(spark, d))
+    return report.select("input_count", "invalid_count", "output_count", "duplicate_count", "cleaned_count", _long("removed_ingredient_artifacts"), _long("cleared_promotional_descriptions"))
+
+
+@query(rf"""SELECT sha256(text) AS content_hash, '3 gram|' || lang AS ingredients, CASE WHEN sha256(text)[1] < '8' THEN '' ELSE 'y' END AS description, string_split(text, chr(10))[1] AS title FROM documents WHERE {_GOOD} GROUP BY text, lang""")
+def ingest_documents(spark, d):
+    """The cleaned documents of that run; equal texts have one language."""
+    docs, _ = ingest.ingest(raw_lines(spark, d))
+    return docs.select("content_hash", F.array_join("ingredients", "|").alias("ingredients"), "description", "title")
 
 
 @query("SELECT count(*) AS input_count, count(DISTINCT text) AS output_count, count(*) - count(DISTINCT text) AS duplicate_count FROM documents")
@@ -448,29 +682,133 @@ def dedup_first_wins(spark, d):
     return ingest.first_wins(docs, [F.col("doc_id"), F.col("content_hash")]).select("ord")
 
 
-@query()
-def html_extract(spark, d):
-    return E.extract_recipes(table(spark, d, "pages")).select("doc_id", "url", "title", "error")
+@query("SELECT doc_id AS ord FROM documents WHERE doc_id % 4 IN (0, 2)")
+def dedup_chains(spark, d):
+    """A dropped row blocks none: of four rows, each of which shares a key with the next, the first and the third stay."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("ord"))
+    k, g = F.col("ord") % 4, F.floor(F.col("ord") / 4)
+    a = F.concat_ws("-", g, F.when(k < 2, 0).otherwise(k))
+    b = F.concat_ws("-", g, F.when((k == 1) | (k == 2), 1).otherwise(k + 10))
+    c = F.when(k >= 2, F.concat_ws("-", g, F.lit("end")))
+    return ingest.first_wins(rows, [a, b, c]).select("ord")
 
 
-@query()
-def page_links(spark, d):
-    return E.detail_links(table(spark, d, "pages"), "", "")
+@query(f"SELECT min(page_id) AS ord FROM (SELECT page_id, {_CANON} AS u FROM pages) GROUP BY u")
+def dedup_pages(spark, d):
+    """Crawled pages: one of each canonical URL or content, the first."""
+    pages = table(spark, d, "pages").withColumn("ord", F.col("page_id"))
+    hashed = F.sha2(F.concat_ws("|", H.canonicalize_url(F.col("url")), "html"), 256)
+    return ingest.first_wins(pages, [H.canonicalize_url(F.col("url")), hashed]).select("ord")
+
+
+# ---- extraction ------------------------------------------------------------------------------
+
+
+def _html(text: Column) -> Column:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(entity))
+    return text
 
 
-@query()
+def recipe_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as recipe pages (url, html): odd ids as plain HTML, even ones as JSON-LD, every seventh JSON-LD without ingredients."""
+    docs = _docs(spark, d).withColumn("l", F.split(F.coalesce("text", F.lit("")), "\n"))
+    items = lambda tag: F.array_join(F.transform("l", lambda x: F.concat(F.lit(f"<{tag}>"), _html(x), F.lit(f"</{tag}>"))), "")
+    n = (F.col("n_chars") % 50 + 1).cast("string")
+    dom = F.concat(
+        F.lit('<html><head><meta property="og:image" content="http://x/i.jpg"><meta name="description" content="page of "></head><body><h1>'), _html(F.get("l", F.lit(0))), F.lit("</h1><h4>Nguyên liệu:</h4><ul>"), items("li"),
+        F.lit("</ul><ul><li>Muối</li></ul><h4>Sơ chế</h4><p>Rửa <b>sạch</b></p><strong>Thực hiện</strong>"), items("p"), F.lit("<h4>Mách nhỏ</h4><p>tip</p><h4>Cách dùng</h4><p>Dùng nóng</p><h5>Khác</h5><p>no</p>"),
+        F.lit("<div><span>Khẩu phần</span><span>"), n, F.lit(" người</span><span>Thời gian thực hiện</span><b>"), n, F.lit(" phút</b><p>Độ khó Dễ</p></div><h3>Được phát sóng trên</h3><a>"),
+        F.col("lang"), F.lit("</a><a>"), _html(F.col("source")), F.lit("</a><h2>Công thức bạn có thể thích</h2><a>other</a></body></html>"),
+    )
+    steps = F.transform("l", lambda x: F.struct(F.lit("HowToStep").alias("@type"), x.alias("text")))
+    ld = F.to_json(F.struct(F.array(F.struct(
+        F.array(F.lit("Thing"), F.lit("recipe")).alias("@type"), F.get("l", F.lit(0)).alias("name"), F.when(F.col("doc_id") % 7 != 0, F.col("l")).alias("recipeIngredient"), steps.alias("recipeInstructions"), F.concat(F.lit("PT"), n, F.lit("M")).alias("prepTime"),
+        F.lit("PT1H5M").alias("cookTime"), F.array("lang", "source").alias("recipeCategory"), F.struct(F.lit("http://x/j.jpg").alias("url")).alias("image"), F.lit("4").alias("recipeYield"),
+    )).alias("@graph")))
+    page = F.when(F.col("doc_id") % 2 == 1, dom).otherwise(F.concat(F.lit('<script type="application/ld+json">{bad</script><script type="application/ld+json">'), ld, F.lit("</script>"), dom))
+    return docs.select(F.concat(F.lit("HTTP://Recipes.example/"), F.col("doc_id").cast("string"), F.lit("/?x=1#y")).alias("url"), page.alias("html"))
+
+
+_ONCE = """SELECT doc_id, kind, list(clean ORDER BY i) AS v FROM (SELECT doc_id, kind, clean, i, row_number() OVER (PARTITION BY doc_id, kind, lower(nfc_normalize(clean)) ORDER BY i) AS r
+  FROM (SELECT doc_id, kind, i, trim(trim(regexp_replace(x, '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')), ' -–•') AS clean FROM u) WHERE clean <> '') WHERE r = 1 GROUP BY ALL"""
+_METHOD = "CASE " + " ".join(f"WHEN contains(h, '{m}') THEN '{m}'" for m in E.METHODS) + " END"
+
+
+@query(r"""WITH l AS (SELECT doc_id, lang, source, n_chars % 50 + 1 AS n, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, 'i' AS kind, CASE WHEN doc_id % 2 = 1 THEN list_append(l, 'Muối') WHEN doc_id % 7 = 0 THEN [] ELSE l END AS v FROM l UNION ALL SELECT doc_id, 'p', CASE WHEN doc_id % 2 = 1 THEN list_concat(['Rửa sạch'], l, ['Dùng nóng']) ELSE l END FROM l),
+u AS (SELECT doc_id, kind, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), o AS (""" + _ONCE.replace("\\\\", "\\") + r"""),
+t AS (SELECT *, trim(regexp_replace(l[1], '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS title FROM l),
+m AS (SELECT t.*, i.v AS i, p.v AS p, array_to_string(list_filter(['title', 'ingredients', 'instructions'], lambda k: CASE k WHEN 'title' THEN title = '' WHEN 'ingredients' THEN i.v IS NULL ELSE p.v IS NULL END), ', ') AS missing,
+  lower(nfc_normalize(title || ' ' || lang || ' ' || source)) AS h FROM t LEFT JOIN o i ON i.doc_id = t.doc_id AND i.kind = 'i' LEFT JOIN o p ON p.doc_id = t.doc_id AND p.kind = 'p'),
+e AS (SELECT *, missing <> '' AS bad FROM m)
+SELECT 'http://recipes.example/' || doc_id AS url, 'doc-' || sha256('http://recipes.example/' || doc_id)[1:16] AS doc_id, CASE WHEN bad THEN 'missing ' || missing END AS error, CASE WHEN NOT bad THEN title END AS title,
+  CASE WHEN NOT bad THEN md5(array_to_string(i, chr(10))) END AS ingredients, CASE WHEN NOT bad THEN md5(array_to_string(p, chr(10))) END AS instructions, CASE WHEN NOT bad THEN lang || ' ' || source END AS categories,
+  CASE WHEN NOT bad AND doc_id % 2 = 1 THEN """ + _METHOD + r""" END AS cooking_method, CASE WHEN NOT bad AND doc_id % 2 = 0 THEN n END::BIGINT AS prep, CASE WHEN bad THEN NULL WHEN doc_id % 2 = 1 THEN n ELSE 65 END::BIGINT AS cook,
+  CASE WHEN bad THEN NULL WHEN doc_id % 2 = 1 THEN n || ' người' ELSE '4' END AS servings, CASE WHEN NOT bad AND doc_id % 2 = 1 THEN 'Dễ' END AS difficulty, CASE WHEN bad THEN NULL WHEN doc_id % 2 = 1 THEN 'http://x/i.jpg' ELSE 'http://x/j.jpg' END AS image_url,
+  CASE WHEN bad THEN NULL WHEN doc_id % 2 = 1 THEN 'page of' ELSE '' END AS description FROM e""")
+def recipe_extract(spark, d):
+    """Recipes from pages made of the documents: plain HTML and JSON-LD, complete and not."""
+    got = E.extract_recipes(recipe_pages(spark, d))
+    digest = lambda c: F.when(F.col("error").isNull(), F.md5(F.array_join(c, "\n").cast("binary"))).alias(c)
+    return got.select("url", "doc_id", "error", "title", digest("ingredients"), digest("instructions"), F.when(F.col("error").isNull(), F.array_join("categories", " ")).alias("categories"), "cooking_method", _long("prep_time_minutes").alias("prep"), _long("cook_time_minutes").alias("cook"), "servings", "difficulty", "image_url", "description")
+
+
+@query(rf"SELECT 'doc-' || sha256({_CANON})[1:16] AS doc_id, {_CANON} AS url, 'missing ingredients, instructions' AS error FROM pages")
+def html_extract(spark, d):
+    """The crawled pages as they are: articles without a recipe's sections, each of which says what it lacks."""
+    return E.extract_recipes(table(spark, d, "pages")).select("doc_id", "url", "error")
+
+
+@query(r"SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/x/' || page_id AS link FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE '%example.com'")
+def page_links(spark, d):
+    """Links to details planted in the crawled pages, twice and beside links of other labels and hosts."""
+    added = F.concat(F.lit('<a href="/x/'), F.col("page_id").cast("string"), F.lit('"><b>Xem</b>  CHI TIẾT</a><a href="/x/'), F.col("page_id").cast("string"), F.lit('">xem chi tiết »</a><a href="http://other.org/1">xem chi tiết</a><a href="/y">chi tiết</a>'))
+    return E.detail_links(table(spark, d, "pages").select("url", F.concat("html", added).alias("html")), "example.com")
+
+
+@query("SELECT page_id AS page, page_id % 9 <> 0 AND page_id < 100 AND NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id < p.page_id AND q.page_id % 13 = p.page_id % 13 AND q.page_id % 9 <> 0 AND p.page_id % 9 <> 0) AS go_on FROM pages p")
+def crawl_stop(spark, d):
+    """Listing pages: every ninth is empty, every thirteenth shows links seen before."""
+    links = F.when(F.col("page_id") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("b"), (F.col("page_id") % 13).cast("string"), F.lit("a")))
+    return E.crawl_stop(table(spark, d, "pages").select(F.col("page_id").alias("page"), links.alias("links")))
+
+
+# ---- snippets and probes ---------------------------------------------------------------------
+
+_PIECES = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+"
+_SIMPLE = FOLD.replace("{0}", "lower(nfc_normalize({0}))")
+
+
+@query(rf"""WITH {BM25F}, hits AS (SELECT query_id, doc_id, rank FROM bm25f WHERE rank <= {serve.MAX_PAGE_SIZE}),
+mt AS (SELECT query_id, doc_id, list(DISTINCT {_SIMPLE.format('term')}) AS terms, list(DISTINCT field) AS mf FROM hits JOIN qterms USING (query_id) JOIN posts USING (channel, term, doc_id) GROUP BY ALL),
+line AS (SELECT doc_id, trim(regexp_replace(title, '{_WS}', ' ', 'g')) AS title, trim(regexp_replace(description, '{_WS}', ' ', 'g')) AS description, array_to_string(instructions, '; ') AS instructions, lang || '; ' || source AS categories, lang AS cooking_method FROM docs),
+shown AS (SELECT doc_id, 'title' AS field, 0 AS prio, title AS txt FROM line UNION ALL SELECT doc_id, 'description', 2, description FROM line UNION ALL SELECT doc_id, 'instructions', 3, instructions FROM line UNION ALL SELECT doc_id, 'categories', 4, categories FROM line UNION ALL SELECT doc_id, 'cooking_method', 5, cooking_method FROM line),
+bits AS (SELECT doc_id, field, unnest(regexp_extract_all(txt, '{_PIECES}')) AS x, generate_subscripts(regexp_extract_all(txt, '{_PIECES}'), 1) AS i FROM shown WHERE doc_id IN (SELECT doc_id FROM hits)),
+placed AS (SELECT doc_id, field, {_SIMPLE.format('x')} AS w, sum(length(x)) OVER (PARTITION BY doc_id, field ORDER BY i) - length(x) AS a, sum(length(x)) OVER (PARTITION BY doc_id, field ORDER BY i) AS b FROM bits),
+marks AS (SELECT query_id, doc_id, field, a, b FROM mt JOIN placed USING (doc_id) WHERE list_contains(terms, w)),
+chosen AS (SELECT query_id, doc_id, field, txt, first_, length(txt) AS n FROM (SELECT mt.query_id, mt.doc_id, s.field, s.txt, m.first_, row_number() OVER (PARTITION BY mt.query_id, mt.doc_id ORDER BY list_contains(mf, s.field) DESC, prio) AS r
+  FROM mt JOIN shown s USING (doc_id) JOIN (SELECT query_id, doc_id, field, min(a) AS first_ FROM marks GROUP BY ALL) m ON m.query_id = mt.query_id AND m.doc_id = s.doc_id AND m.field = s.field) WHERE r = 1),
+box AS (SELECT *, CASE WHEN n <= 220 THEN 0 ELSE least(greatest(0, first_ - 73), n - 220) END AS l0, CASE WHEN n <= 220 THEN n ELSE least(greatest(0, first_ - 73), n - 220) + 220 END AS r0 FROM chosen),
+cuts AS (SELECT *, substr(txt, l0::INT + 1, (r0 - l0)::INT) AS sub FROM box),
+ends AS (SELECT *, CASE WHEN l0 > 0 AND strpos(sub, ' ') > 0 THEN l0 + strpos(sub, ' ') ELSE l0 END AS lft, CASE WHEN strpos(sub, ' ') > 0 THEN l0 + length(sub) - strpos(reverse(sub), ' ') ELSE -1 END AS last_ FROM cuts),
+fin AS (SELECT *, CASE WHEN r0 < n AND last_ > lft THEN last_ ELSE r0 END AS rgt FROM ends)
+SELECT f.query_id, h.rank, f.doc_id, f.field, CASE WHEN lft > 0 THEN '…' ELSE '' END || substr(txt, lft::INT + 1, (rgt - lft)::INT) || CASE WHEN rgt < n THEN '…' ELSE '' END AS text,
+  (SELECT count(*) FROM marks m WHERE m.query_id = f.query_id AND m.doc_id = f.doc_id AND m.field = f.field AND m.a >= lft AND m.b <= rgt) AS n_highlights FROM fin f JOIN hits h USING (query_id, doc_id)""")
 def snippet(spark, d):
     """Of every hit on a query's first page, at the largest size that the service gives."""
     ix = stored(spark, d)
-    top = _bm(spark, d, ix).filter(F.col("rank") <= serve.MAX_PAGE_SIZE).drop("title").join(ix.documents, "doc_id")
-    return top.select("query_id", "rank", "doc_id", snippets.snippet_column(F.struct(*snippets.PRIORITY), F.col("matched_fields"), F.col("matched_terms")).alias("s")).select("query_id", "rank", "doc_id", "s.field", "s.text", F.size("s.highlights").alias("n_highlights"))
+    top = _bm(spark, d).filter(F.col("rank") <= serve.MAX_PAGE_SIZE).drop("title").join(ix.documents, "doc_id")
+    return top.select("query_id", _long("rank"), "doc_id", snippets.snippet_column(F.struct(*snippets.PRIORITY), F.col("matched_fields"), F.col("matched_terms")).alias("s")).select("query_id", "rank", "doc_id", "s.field", "s.text", F.size("s.highlights").cast("long").alias("n_highlights"))
 
 
-@query()
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc(spark, d):
-    return _docs(spark, d).select("doc_id", X.normalize_unicode(F.col("text")).alias("text"))
+    """Decomposed texts composed again."""
+    apart = _docs(spark, d).select("doc_id", X.normalize_unicode(F.col("text"), "NFD").alias("text"))
+    return apart.select("doc_id", X.normalize_unicode(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"WITH {TOKENS}, p AS (SELECT * FROM (VALUES ('the', ['the'], 'accentless'), ('and  of', ['and', 'of'], 'accentless'), ('MENT été', ['ment', 'été'], 'normalized'), ('pizza', ['pizza'], 'accentless')) x(q, t, c)), c AS (SELECT q, count(DISTINCT doc_id) AS k FROM p, posts WHERE list_contains(t, term) AND channel = c GROUP BY q) SELECT trim(regexp_replace(p.q, ' +', ' ')) AS query, coalesce(k, 0) > 0 AS covered, coalesce(k, 0) AS result_count FROM p LEFT JOIN c USING (q)")
 def coverage_probe(spark, d):
-    return C.probe(stored(spark, d), ("the", "and of", "idiot", "pizza")).select("query", "covered", "result_count")
+    return C.probe(stored(spark, d), ("the", "and  of", "MENT été", "The", " ", "pizza")).select("query", "covered", "result_count")

@@ -36,7 +36,7 @@ def _json_list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(values, _json_string), ", "), F.lit("]"))
 
 
-def content_hash(title: Column, ingredients: Column, instructions: Column, compose: bool = False) -> Column:
+def content_hash(title: Column, ingredients: Column, instructions: Column, compose: bool = True) -> Column:
     """sha256 of the normalised JSON array [title, ingredients, instructions]."""
     text = F.concat(F.lit("["), _json_string(title), F.lit(", "), _json_list(ingredients), F.lit(", "), _json_list(instructions), F.lit("]"))
     return F.sha2(T.normalize_text(text, compose=compose), 256)

@@ -66,6 +66,13 @@ def normalize_unicode(text: Column, form: str = "NFC") -> Column:
     return F.coalesce(normal(F.when(text.rlike(_suspect()), text)), text)
 
 
+def composed_items(items: Column) -> Column:
+    """Composed texts of a list, null as empty: one call for the whole list, since a lambda cannot call Python."""
+    none = F.array().cast("array<string>")
+    flat = F.transform(F.coalesce(items, none), lambda x: F.translate(F.coalesce(x, F.lit("")), "\x1e", " "))
+    return F.when(F.size(flat) > 0, F.split(normalize_unicode(F.array_join(flat, "\x1e")), "\x1e")).otherwise(none)
+
+
 def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
@@ -89,22 +96,31 @@ def tokenize(text: Column, compose: bool = True) -> Column:
     return tokenize_normalized(normalize_text(text, compose=compose))
 
 
-def tokenize_with(segmenter, text: Column) -> Column:
-    """Tokens of a custom segmenter (a Python function from text to words); spaces inside a word become _."""
+def load_segmenter():
+    """The word segmenter of an optional library, or None where it is not installed."""
+    try:
+        from underthesea import word_tokenize
+    except ImportError:
+        return None
+    return word_tokenize
 
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> list[str]:
-            if not x:
-                return []
-            got = segmenter(x)
-            words = got.split() if isinstance(got, str) else list(got)
-            clean = (" ".join(unicodedata.normalize("NFC", w).split()).lower().replace(" ", "_") for w in words)
-            return [w for w in clean if w]
 
-        return s.map(one)
+def segmented(segmenter, text: str | None) -> list[str]:
+    """Words of a custom segmenter, which gives a spaced string or a list; spaces inside a word become _."""
+    got = segmenter(text) if text else ""
+    words = got.split() if isinstance(got, str) else list(got)
+    clean = ("_".join(unicodedata.normalize("NFC", w).split()).lower() for w in words)
+    return [w for w in clean if w]
 
-    return cut(text)
+
+def tokenize_with(segmenter, norm: Column) -> Column:
+    """Tokens of a custom segmenter (a Python function from normalised text to words)."""
+
+    @F.pandas_udf("array<string>")
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: segmented(segmenter, x))
+
+    return words(norm)
 
 
 def search_forms(text: Column, compose: bool = True) -> Column:
@@ -118,11 +134,11 @@ def ranking_terms(tokens: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(stops, t) & ~F.array_contains(stops, strip_accents(t)))
 
 
-def comparison_form(text: Column, compose: bool = False) -> Column:
+def comparison_form(text: Column, compose: bool = True) -> Column:
     return F.btrim(strip_accents(normalize_text(text, compose=compose)), F.lit(" :.-"))
 
 
-def search_form(text: Column, compose: bool = False) -> Column:
+def search_form(text: Column, compose: bool = True) -> Column:
     return strip_accents(normalize_text(F.coalesce(text.cast("string"), F.lit("")), compose=compose))
 
 
@@ -130,10 +146,11 @@ def clean_text(text: Column) -> Column:
     return normalize_whitespace(F.coalesce(text, F.lit("")))
 
 
-def deduplicate_texts(values: Column, compose: bool = False) -> Column:
+def deduplicate_texts(values: Column) -> Column:
     """First of each text that differs beyond case and spacing; bullets at the ends go, blanks too."""
     cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.btrim(clean_text(v), F.lit(" -–•\t\n")))
-    pairs = F.transform(cleaned, lambda v: F.struct(v.alias("clean"), normalize_text(v, compose=compose).alias("key")))
+    keys = F.transform(composed_items(cleaned), lambda v: normalize_text(v, compose=False))
+    pairs = F.transform(F.arrays_zip(cleaned, keys), lambda p: F.struct(p["0"].alias("clean"), p["1"].alias("key")))
     # the one-element array binds the pairs to a variable, so that they are made once and not for every element
     first = F.transform(F.array(pairs), lambda every: F.filter(every, lambda p, i: (p["key"] != "") & (F.array_position(every["key"], p["key"]) == i + 1)))
     return F.transform(F.get(first, F.lit(0)), lambda p: p["clean"])
@@ -145,8 +162,11 @@ def field_text(field: str, kind: str) -> Column:
     return F.array_join(c, "\n") if kind.startswith("array") else F.coalesce(c, F.lit(""))
 
 
-def searchable_text(scalars: list[str], lists: list[str]) -> Column:
-    parts = [F.nullif(F.col(c), F.lit("")) for c in scalars] + [F.nullif(F.array_join(F.col(c), " "), F.lit("")) for c in lists]
-    return F.concat_ws("\n", *parts)
+def optional(text: Column) -> Column:
+    """Blank text as null."""
+    return F.nullif(text, F.lit(""))
 
 
+def searchable_text(scalars: list[str], lists: list[str]) -> Column:
+    parts = [optional(F.col(c)) for c in scalars] + [optional(F.array_join(F.col(c), " ")) for c in lists]
+    return F.concat_ws("\n", *parts)

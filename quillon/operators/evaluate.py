@@ -71,9 +71,14 @@ def compare(per_model: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(*[(F.col(f"a_{k}") - F.col(f"b_{k}")).alias(k) for k in METRICS])
 
 
+def unjudged(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Ids of the queries without a positive judgment."""
+    return queries.join(qrels.filter("relevance > 0"), "query_id", "left_anti").select("query_id")
+
+
 def check_ground_truth(queries: DataFrame, qrels: DataFrame) -> None:
-    """Every query needs a positive judgment."""
-    missing = queries.join(qrels.filter("relevance > 0"), "query_id", "left_anti").select("query_id").orderBy("query_id").limit(100).collect()
+    """Every query needs a positive judgment; the error names up to a hundred that have none."""
+    missing = unjudged(queries, qrels).orderBy("query_id").limit(100).collect()
     if missing:
         raise ValueError("queries without a positive judgment: " + ", ".join(r.query_id for r in missing))
 
@@ -90,6 +95,19 @@ def fused_pool(rankings: list[DataFrame], depth: int) -> DataFrame:
     return pool.withColumn("pool_rank", F.row_number().over(order))
 
 
+#: What a query asks instead if neither ranker finds anything, for the judging pool only (fixed values).
+POOL_FALLBACK = {"hải sản": "cá tôm mực nghêu ốc"}
+
+
+def with_fallback(pool: DataFrame, queries: DataFrame, fallback_pool) -> DataFrame:
+    """pool, and for queries without any row in it the pool of their fallback text. fallback_pool(queries) ranks it."""
+    key = F.lower(F.trim("text"))
+    other = F.coalesce(*[F.when(key == k, v) for k, v in POOL_FALLBACK.items()], F.lit(None).cast("string"))
+    again = queries.withColumn("_other", other).filter("_other is not null").join(pool.select("query_id").distinct(), "query_id", "left_anti")
+    again = again.withColumn("text", F.col("_other")).drop("_other")
+    return pool.unionByName(fallback_pool(again)) if again.limit(1).count() else pool
+
+
 def to_judge(pool: DataFrame, qrels: DataFrame, rejudge: bool = False) -> DataFrame:
     return pool if rejudge else pool.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 

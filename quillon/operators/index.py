@@ -1,37 +1,118 @@
-"""Field-aware positional inverted index as tables."""
+"""Field-aware positional inverted index as tables.
+
+A row of the postings is a term in a document: for every field its occurrences, their positions and
+the field's length. It is made where the document lies, so occurrences are never shuffled, and it
+holds all that a term adds to the document's score, so scoring needs no join with lengths.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import scalars as H
-
-
-def field_order(field: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(f) for f in S.FIELDS]), field)
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """(channel, term, field, doc_id, tf, positions) of processed rows; positions are 0-based in a document's field."""
-    both = F.array(F.struct(F.lit("normalized").alias("channel"), F.col("tokens").alias("t")), F.struct(F.lit("accentless").alias("channel"), F.col("accentless_tokens").alias("t")))
-    streams = rows.select("doc_id", "field", F.inline(both))
-    found = streams.select("channel", "field", "doc_id", F.posexplode("t").alias("position", "term"))
-    return found.groupBy("channel", "term", "field", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-
-
-def field_lengths(rows: DataFrame) -> DataFrame:
+from ..functions.text import accent_table
+from ..storage import scratch, small
+
+#: Documents of one Arrow batch.
+BATCH_DOCS = 512
+
+#: A term in a document: occurrences in all fields, the sum of squared log frequencies, then each field's own.
+POSTINGS = ", ".join(["channel string", "doc_id string", "term string", "tf int", "squares double", *(f"{f}_tf int, {f}_len int, {f}_pos array<int>" for f in S.FIELDS)])
+
+
+def field_order(name: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(f) for f in S.FIELDS]), name)
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray, present: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(~present))
+
+
+def _channel_rows(channel: str, ids: pa.Array, lens: np.ndarray, row: np.ndarray, fld: np.ndarray, pos: np.ndarray, code: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Postings of one channel of a batch; the occurrence arrays come by field, then row, then position."""
+    key = (row * max(1, len(words)) + code) * len(S.FIELDS) + fld
+    order = np.argsort(key, kind="stable")
+    key, pos, fld = key[order], pos[order], fld[order]
+    term = key // len(S.FIELDS)  # of a document
+    new = np.flatnonzero(np.diff(term, prepend=-1))
+    group = np.cumsum(np.diff(term, prepend=-1) != 0) - 1
+    n = len(new)
+    head = term[new]
+    at_row, at_word = head // max(1, len(words)), head % max(1, len(words))
+    columns: list[pa.Array] = [pa.array([channel] * n, pa.string()), ids.take(pa.array(at_row)), words.take(pa.array(at_word))]
+    per_field, squares = [], np.zeros(n)
+    for k in range(len(S.FIELDS)):
+        mine = fld == k
+        tf = np.bincount(group[mine], minlength=n) if n else np.zeros(0, np.int64)
+        have = tf > 0
+        squares += np.where(have, (1 + np.log(np.maximum(tf, 1))) ** 2, 0.0)
+        offsets = np.concatenate([[0], np.cumsum(tf)])
+        per_field += [pa.array(tf, pa.int32(), mask=~have), pa.array(lens[k][at_row], pa.int32()), _lists(offsets, pos[mine], have)]
+    total = np.diff(np.append(new, len(key)))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(squares), *per_field], names=_NAMES)
+
+
+_NAMES = [c.split()[0] for c in POSTINGS.replace("array<int>", "list").split(", ")]
+
+
+def _fold_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the accent-less form of each word, and the forms."""
+    source, target = accent_table()
+    table = {ord(a): (target[i] if i < len(target) else None) for i, a in enumerate(source)}
+    seen: dict[str, int] = {}
+    codes = [seen.setdefault(w.translate(table), len(seen)) for w in words.to_pylist()]
+    return np.asarray(codes, np.int64), pa.array(list(seen), pa.string())
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, BATCH_DOCS):
+            b = whole.slice(start, BATCH_DOCS)
+            flat, row, fld, pos, lens = [], [], [], [], []
+            for k, f in enumerate(S.FIELDS):
+                lists = b.column(b.schema.get_field_index(f))
+                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat.append(lists.flatten())
+                row.append(np.repeat(np.arange(len(n)), n))
+                fld.append(np.full(int(n.sum()), k))
+                pos.append(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+                lens.append(n)
+            words = pa.concat_arrays(flat).dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            places = [np.concatenate(x) for x in (row, fld, pos)]
+            ids = b.column(b.schema.get_field_index("doc_id"))
+            folded, forms = _fold_words(words.dictionary)
+            for channel, c, w in (("normalized", code, words.dictionary), ("accentless", folded[code] if len(code) else code, forms)):
+                if len(c):
+                    yield _channel_rows(channel, ids, lens, *places, c, w)
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """Rows of POSTINGS from a row a document (see ingest.tokenized): made batch by batch, without a shuffle."""
+    tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    return tokens.select("doc_id", *S.FIELDS).mapInArrow(_post, POSTINGS)
+
+
+def by_field(post: DataFrame) -> DataFrame:
+    """(channel, term, field, doc_id, tf, positions, len): a row a field that holds the term."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tf").alias("tf"), F.col(f"{f}_pos").alias("positions"), F.col(f"{f}_len").alias("len")) for f in S.FIELDS])
+    return post.select("channel", "term", "doc_id", F.inline(F.filter(each, lambda x: x["tf"].isNotNull()))).select("channel", "term", "field", "doc_id", "tf", "positions", "len")
+
+
+def field_lengths(tokens: DataFrame) -> DataFrame:
     """(doc_id, field, len) of the normalised stream; every field of every document."""
-    return rows.select("doc_id", "field", F.size("tokens").alias("len"))
+    return tokens.select("doc_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f).alias("len")) for f in S.FIELDS])))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
-    """(channel, term, df, cf): documents across fields, and occurrences."""
-    per_doc = post.groupBy("channel", "term", "doc_id").agg(F.sum("tf").alias("tf"))
-    return per_doc.groupBy("channel", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(channel, term, df, cf): documents and occurrences; frequent terms are summed before the shuffle."""
+    return post.groupBy("channel", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def idf_tfidf(n: int | Column) -> Column:
@@ -45,9 +126,9 @@ def idf_bm25(n: int | Column) -> Column:
 
 
 def doc_norms(post: DataFrame, stats: DataFrame, n: int) -> DataFrame:
-    """(channel, doc_id, norm): length of a document's TF-IDF vector over terms and fields, 1 if it has none."""
-    w = H.log_term_frequency(F.col("tf")) * idf_tfidf(n)
-    return post.select("channel", "term", "doc_id", "tf").join(stats.select("channel", "term", "df"), ["channel", "term"]).groupBy("channel", "doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    """(channel, doc_id, norm): length of a document's TF-IDF vector over terms and fields."""
+    idf = small(stats.select("channel", "term", "df"), stats.count())
+    return post.select("channel", "term", "doc_id", "squares").join(idf, ["channel", "term"]).groupBy("channel", "doc_id").agg(F.sqrt(F.sum(idf_tfidf(n) * idf_tfidf(n) * F.col("squares"))).alias("norm"))
 
 
 def average_lengths(lengths: DataFrame, n: int) -> DataFrame:
@@ -65,13 +146,22 @@ class Index:
     doc_norms: DataFrame
     n: int
     tokenizer: str = "basic"
+    segmenter: object = None
+    _averages: dict[str, float] = field(default_factory=dict)
+
+    def averages(self) -> dict[str, float]:
+        """Average length by field: one row a field."""
+        if not self._averages:
+            self._averages.update({f: 0.0 for f in S.FIELDS} | {r.field: float(r.avg_len) for r in average_lengths(self.field_lengths, self.n).collect()})
+        return self._averages
 
     def save(self, path: str) -> None:
-        """Parquet tables; postings are dealt by channel and sorted by term, so that a term's row groups are found by statistics."""
+        """Parquet tables. Postings stay dealt by document, so that no term, however frequent, fills a file or a task and a
+        document's score is summed where its postings lie; within a file they are sorted by term, so that a term's row
+        groups are found by their statistics."""
         spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        sorted_ = self.postings.repartitionByRange("channel", "term").sortWithinPartitions("channel", "term", "field", "doc_id")
-        sorted_.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("channel", "term", "doc_id").write.mode("overwrite").partitionBy("channel").parquet(f"{path}/postings")
         self.field_lengths.write.mode("overwrite").parquet(f"{path}/field_lengths")
         self.term_stats.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/term_stats")
         self.doc_norms.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/doc_norms")
@@ -79,24 +169,27 @@ class Index:
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/index_meta")
 
 
-def build(docs: DataFrame, rows: DataFrame, tokenizer: str = "basic") -> Index:
-    """Index tables of documents and their processed rows. A repeated doc_id is an error."""
+def build(docs: DataFrame, tokens: DataFrame, tokenizer: str = "basic", segmenter=None) -> Index:
+    """Index tables of documents and their tokens, a row a document. A repeated doc_id is an error."""
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         raise ValueError("duplicate document id")
     n = docs.count()
-    post = postings(rows)
-    stats = term_stats(post)
-    return Index(docs, post, field_lengths(rows), stats, doc_norms(post, stats, n), n, tokenizer)
+    post = scratch(postings(tokens), "index-terms")
+    stats = scratch(term_stats(post), "index-stats")
+    return Index(docs, post, field_lengths(tokens), stats, doc_norms(post, stats, n), n, tokenizer, segmenter)
 
 
-def load(spark: SparkSession, path: str) -> Index:
+def load(spark: SparkSession, path: str, segmenter=None) -> Index:
+    """A saved index. One built with a segmenter asks for it again, so that queries are cut as the documents were."""
     meta = spark.read.parquet(f"{path}/index_meta").first()
     if meta.format_version != S.INDEX_VERSION:
         raise ValueError(f"unsupported index version {meta.format_version}")
     if tuple(meta.indexed_fields) != S.FIELDS:
         raise ValueError("indexed fields differ")
+    if (meta.tokenizer != "basic") != (segmenter is not None):
+        raise ValueError(f"the index was built with the {meta.tokenizer} tokenizer")
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    return Index(read("documents"), read("postings"), read("field_lengths"), read("term_stats"), read("doc_norms"), meta.n, meta.tokenizer)
+    return Index(read("documents"), read("postings"), read("field_lengths"), read("term_stats"), read("doc_norms"), meta.n, meta.tokenizer, segmenter)
 
 
 def _channel(channel: str) -> str:
@@ -112,7 +205,7 @@ def terms(index: Index, channel: str = "normalized") -> DataFrame:
 def get_postings(index: Index, term: str, field: str | None = None, channel: str = "normalized") -> DataFrame:
     if field is not None and field not in S.FIELDS:
         raise ValueError(f"unknown field {field!r}")
-    rows = index.postings.filter((F.col("channel") == _channel(channel)) & (F.col("term") == term))
+    rows = by_field(index.postings.filter((F.col("channel") == _channel(channel)) & (F.col("term") == term)))
     rows = rows if field is None else rows.filter(F.col("field") == field)
     return rows.select("doc_id", "field", "tf", "positions").orderBy(field_order(F.col("field")), "doc_id")
 
@@ -126,10 +219,11 @@ def collection_frequency(index: Index, term: str, field: str | None = None, chan
 
 
 def statistics(index: Index) -> DataFrame:
-    """One row: documents, vocabularies by channel, postings of both channels, tokens of one."""
+    """One row: documents, vocabularies by channel, postings by field of both channels, tokens of one."""
     of = lambda c: F.count_if(F.col("channel") == c)
     vocab = index.term_stats.agg(of("normalized").alias("normalized_vocabulary"), of("accentless").alias("accentless_vocabulary"))
-    posts = index.postings.agg(F.count("*").alias("posting_count"))
+    held = sum((F.col(f"{f}_tf").isNotNull().cast("long") for f in S.FIELDS), F.lit(0))
+    posts = index.postings.agg(F.coalesce(F.sum(held), F.lit(0)).alias("posting_count"))
     tokens = index.field_lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("token_count"))
     out = vocab.withColumns({"document_count": F.lit(index.n).cast("long"), "_one": F.lit(1)})
     for t in (posts, tokens):

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalars as H
 from ..functions import text as X
+from ..storage import scratch, small
 
 #: Ingredient lines that are page furniture, and openings of promotional descriptions, accent-folded (fixed values).
 ARTIFACTS = ("gram", "muong")
 PROMOTIONS = ("goi y com nha", "goi y bua an", "goi y thuc don")
 
 
-def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared checkpoint folder."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Records of JSON lines (value, ord): adds doc and valid. Blank lines are gone.
 
@@ -52,47 +43,49 @@ def _default(f: T.StructField) -> Column:
 def first_wins(rows: DataFrame, keys: list[Column], order: str = "ord") -> DataFrame:
     """Rows kept when a row falls to any earlier kept row that shares a non-empty key with it.
 
-    A dropped row does not block others. Each round keeps the undecided rows that come first in all
-    their key groups and drops what shares a key with them; rounds end when none is undecided.
+    A dropped row does not block others. Rows that share no key are kept at once; only the others, as
+    (row, key) pairs, go through rounds. A round keeps the rows that come first in all their keys'
+    groups and drops what shares a key with them; rounds end when no pair is left.
     """
-    spark = rows.sparkSession
-    names = [f"_k{i}" for i in range(len(keys))]
-    thin = rows.select(order, *[F.nullif(k.cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names)])
-    open_, kept = scratch(spark, thin, "dedup-open"), None
+    named = F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(k.cast("string"), F.lit("")).alias("v")) for i, k in enumerate(keys)])
+    pairs = rows.select(F.col(order).alias("ord"), F.explode(named).alias("k")).filter("k.v is not null").select("ord", F.xxhash64("k.i", "k.v").alias("h"), "k")
+    firsts = pairs.groupBy("h", "k").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    shared = scratch(firsts.filter("n > 1").select("h", "k"), "dedup-shared")
+    n = shared.count()
+    if not n:
+        return rows
+    contested = pairs.join(small(shared, n), ["h", "k"], "left_semi").select("ord").distinct()
+    # all keys of a contested row take part: it must be first in each
+    open_ = scratch(pairs.join(contested, "ord", "left_semi").select("ord", F.struct("h", "k").alias("k")), "dedup-open")
+    lost = None
     while True:
-        firsts = open_
-        for n in names:
-            low = open_.filter(F.col(n).isNotNull()).groupBy(n).agg(F.min(order).alias(f"{n}_min"))
-            firsts = firsts.join(low, n, "left")
-        lead = F.lit(True)
-        for n in names:
-            lead = lead & (F.col(n).isNull() | (F.col(f"{n}_min") == F.col(order)))
-        marked = scratch(spark, firsts.select(order, *names, lead.alias("_keep")), "dedup-round")
-        won = marked.filter("_keep").select(order, *names)
-        kept = won.select(order) if kept is None else kept.unionByName(won.select(order))
-        open_ = marked.filter("not _keep").drop("_keep")
-        for n in names:
-            open_ = open_.join(won.filter(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
-        open_ = scratch(spark, open_.select(order, *names), "dedup-open")
+        groups = open_.groupBy("k").agg(F.min("ord").alias("first"))
+        leads = groups.groupBy(F.col("first").alias("ord")).agg(F.count("*").alias("led"))
+        degree = open_.groupBy("ord").agg(F.count("*").alias("keys"))
+        won = scratch(leads.join(degree, "ord").filter("led = keys").select("ord"), "dedup-won")
+        taken = scratch(open_.join(won, "ord", "left_semi").select("k"), "dedup-taken")
+        beaten = open_.join(small(taken, taken.count()), "k", "left_semi").select("ord").distinct().join(won, "ord", "left_anti")
+        beaten = scratch(beaten, "dedup-lost")
+        lost = beaten if lost is None else lost.unionByName(beaten)
+        open_ = scratch(open_.join(won.unionByName(beaten), "ord", "left_anti"), "dedup-open")
         if not open_.limit(1).count():
-            return rows.join(kept, order, "left_semi")
+            return rows.join(small(lost, lost.count()).withColumnRenamed("ord", order), order, "left_anti")
 
 
 def sanitize(docs: DataFrame) -> DataFrame:
     """Drops furniture ingredients, clears promotional descriptions; adds removed_ingredients and cleared_description."""
-    form = X.comparison_form
-    keep = F.filter("ingredients", lambda v: ~form(v).isin(*ARTIFACTS))
-    promo = F.coalesce(form(F.col("description")), F.lit("")).rlike(f"^({'|'.join(PROMOTIONS)})")
+    forms = F.transform(X.composed_items(F.col("ingredients")), lambda v: X.comparison_form(v, compose=False))
+    keep = F.transform(F.filter(F.arrays_zip("ingredients", forms), lambda p: ~p["1"].isin(*ARTIFACTS)), lambda p: p["ingredients"])
+    promo = F.coalesce(X.comparison_form(F.col("description")), F.lit("")).rlike(f"^({'|'.join(PROMOTIONS)})")
     out = docs.withColumns({"_kept": keep, "_promo": promo})
     return out.withColumns({"removed_ingredients": F.size("ingredients") - F.size("_kept"), "ingredients": F.col("_kept"), "cleared_description": F.col("_promo").cast("int"), "description": F.when(F.col("_promo"), "").otherwise(F.col("description"))}).drop("_kept", "_promo")
 
 
 def ingest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cleaned documents and the one-row report of a JSONL table (value, ord)."""
-    spark = lines.sparkSession
-    parsed = scratch(spark, parse_lines(lines), "ingest-parsed")
+    parsed = scratch(parse_lines(lines), "ingest-parsed")
     good = parsed.filter("valid").select("ord", "doc.*")
-    clean = scratch(spark, sanitize(first_wins(good, [F.col("doc_id"), F.col("content_hash")])), "ingest-clean")
+    clean = scratch(sanitize(first_wins(good, [F.col("doc_id"), F.col("content_hash")])), "ingest-clean")
     seen = parsed.agg(F.count("*").alias("input_count"), F.count_if(~F.col("valid")).alias("invalid_count"))
     made = clean.agg(
         F.count("*").alias("output_count"), F.count_if((F.col("removed_ingredients") > 0) | (F.col("cleared_description") > 0)).alias("cleaned_count"),
@@ -102,14 +95,25 @@ def ingest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean.drop("removed_ingredients", "cleared_description"), report
 
 
+def tokenized(docs: DataFrame, compose: bool = True, segmenter=None, texts: bool = False) -> DataFrame:
+    """A row a document: doc_id and, for each field, its tokens; with texts, its normalised text as well."""
+    kinds = dict(docs.dtypes)
+    raw = {f: X.field_text(f, kinds[f]) for f in S.FIELDS}
+    norm = docs.select("doc_id", *[X.normalize_text(r, compose=compose).alias(f"{f}_norm") for f, r in raw.items()])
+    cut = {f: X.tokenize_with(segmenter, F.col(f"{f}_norm")) if segmenter else X.tokenize_normalized(F.col(f"{f}_norm")) for f in S.FIELDS}
+    return norm.select("doc_id", *[c.alias(f) for f, c in cut.items()], *([f"{f}_norm" for f in S.FIELDS] if texts else []))
+
+
 def processed(docs: DataFrame, compose: bool = True, segmenter=None) -> DataFrame:
     """(doc_id, field, field_ord, text_norm, tokens, accentless_tokens, ranking_tokens), a row a field."""
-    kinds = dict(docs.dtypes)
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), X.field_text(f, kinds[f]).alias("raw")) for i, f in enumerate(S.FIELDS)])
-    rows = docs.select("doc_id", F.inline(each))
-    rows = rows.withColumn("text_norm", X.normalize_text(F.col("raw"), compose=compose))
-    rows = rows.withColumn("tokens", X.tokenize_with(segmenter, F.col("raw")) if segmenter else X.tokenize_normalized(F.col("text_norm")))
-    return rows.withColumns({"accentless_tokens": F.transform("tokens", X.strip_accents), "ranking_tokens": X.ranking_terms(F.col("tokens"))}).drop("raw")
+    wide = tokenized(docs, compose, segmenter, texts=True)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.col(f"{f}_norm").alias("text_norm"), F.col(f).alias("tokens")) for i, f in enumerate(S.FIELDS)])
+    rows = wide.select("doc_id", F.inline(each))
+    return rows.withColumns({"accentless_tokens": F.transform("tokens", X.strip_accents), "ranking_tokens": X.ranking_terms(F.col("tokens"))})
+
+
+def _fold_list(name: str) -> Column:
+    return F.transform(X.composed_items(F.col(name)), lambda v: X.search_form(v, compose=False))
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -118,10 +122,5 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({
         "total_time_minutes": H.total_time(F.col("prep_time_minutes"), F.col("cook_time_minutes")),
         "difficulty_fold": fold(F.col("difficulty")), "method_fold": fold(F.col("cooking_method")),
-        "categories_fold": F.transform("categories", fold), "ingredients_fold": F.transform("ingredients", fold),
+        "categories_fold": _fold_list("categories"), "ingredients_fold": _fold_list("ingredients"),
     })
-
-
-def row_order(df: DataFrame, *by: str) -> DataFrame:
-    """Adds ord, the row's number in the given order (for small inputs and tests)."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*by)))

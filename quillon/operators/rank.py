@@ -1,52 +1,64 @@
 """TF-IDF and BM25F ranking of many queries in one plan.
 
 Statistics (n, df, average lengths, norms) always cover the whole index; filters restrict only
-which documents are scored.
+which documents are scored. A posting holds all fields of a term in a document, so what it adds to
+each field's score is computed in its row, and a document's postings lie together, so sums are made
+before the one exchange by (query, document).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalars as H
+from ..storage import scratch, small
 from . import query as Q
-from .index import Index, average_lengths, idf_bm25, idf_tfidf
-
-#: Query terms of at most so many rows are broadcast; larger batches of queries are joined by shuffle.
-BROADCAST_TERMS = 1_000_000
+from .index import Index, idf_bm25, idf_tfidf
 
+#: Up to so many distinct terms are given to the scan, which leaves out row groups without them.
+PUSHED_TERMS = 50
+#: Matched terms of a document are bits of long columns, so many in each.
+BITS = 62
 
-def _by_field(values: dict[str, float], default: float) -> Column:
-    out = F.lit(default)
-    for name, v in values.items():
-        out = F.when(F.col("field") == name, v).otherwise(out)
-    return out
 
+class Asked:
+    """The terms of a batch of queries: (query_id, channel, term, qtf, boost, places, n_terms, df, word, bit) and what their number allows."""
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_TERMS else df
+    def __init__(self, index: Index, processed: DataFrame):
+        terms = Q.query_terms(processed)
+        slots = Window.partitionBy("query_id").orderBy("term")
+        at = F.row_number().over(slots) - 1
+        self.terms = scratch(terms.withColumns({"word": F.floor(at / BITS).cast("int"), "bit": F.call_function("shiftleft", F.lit(1).cast("long"), (at % BITS).cast("int"))}), "query-terms")
+        seen = self.terms.agg(F.count("*").alias("n"), F.max("word").alias("words")).first()
+        self.n, self.words = seen.n, (seen.words or 0) + 1
+        few = self.n <= PUSHED_TERMS
+        self.pushed = [r.term for r in self.terms.select("term").distinct().collect()] if few else None
+        self.stats = index.term_stats.select("channel", "term", "df").join(small(self.terms, self.n), ["channel", "term"])
 
+    def hits(self, post: DataFrame, allowed: DataFrame | None, terms: DataFrame | None = None) -> DataFrame:
+        """Postings of the queries' terms, a row a query, term and document."""
+        if self.pushed is not None:
+            post = post.filter(F.col("term").isin(self.pushed))
+        found = post.join(small(terms or self.stats, self.n), ["channel", "term"])
+        return found if allowed is None else found.join(allowed, "doc_id", "left_semi")
 
-def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    return rows if allowed is None else rows.join(allowed, "doc_id", "left_semi")
+    def marks(self) -> dict[str, Column]:
+        """Aggregates that note which terms a document holds."""
+        return {f"_w{k}": F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))) for k in range(self.words)}
 
+    def lists(self) -> DataFrame:
+        """(query_id, _terms, _n_terms): each query's distinct terms in order of their bits."""
+        return small(self.terms.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("_terms"), F.max("n_terms").alias("_n_terms")), self.n)
 
-def bm25f_fields(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None, n_terms: int | None = None) -> DataFrame:
-    """(query_id, doc_id, field, score, terms): each field's share of the term scores, without positions."""
-    terms = Q.query_terms(processed).join(index.term_stats.select("channel", "term", "df"), ["channel", "term"])
-    hits = _allowed(index.postings.select("channel", "term", "field", "doc_id", "tf").join(_small(terms, n_terms), ["channel", "term"]), allowed)
-    # six averages, one a field
-    avg = F.broadcast(average_lengths(index.field_lengths, index.n))
-    b = _by_field(params.b, 0.75)
-    rel = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(1.0)
-    ntf = F.col("tf") / F.greatest(1 - b + b * rel, F.lit(1e-9))
-    parts = hits.join(index.field_lengths, ["doc_id", "field"]).join(avg, "field").withColumn("part", _by_field(params.weights, 1.0) * ntf)
-    ctf = F.sum("part").over(Window.partitionBy("query_id", "doc_id", "term"))
-    parts = parts.withColumn("ctf", ctf)
-    term = idf_bm25(index.n) * (params.k1 + 1) * F.col("ctf") / (params.k1 + F.col("ctf")) * H.log_term_frequency(F.col("qtf")) * F.col("boost")
-    return parts.withColumn("share", term * F.col("part") / F.col("ctf")).groupBy("query_id", "doc_id", "field").agg(F.sum("share").alias("score"), F.collect_set("term").alias("terms"))
+    def held(self) -> Column:
+        """The marked terms, sorted."""
+        words = F.array(*[f"_w{k}" for k in range(self.words)])
+        return F.filter("_terms", lambda t, i: F.getbit(F.get(words, F.floor(i / BITS).cast("int")), i % BITS) == 1)
 
 
 def phrase_count(lists: Column) -> Column:
@@ -61,58 +73,145 @@ def minimum_gap(lists: Column) -> Column:
     return F.greatest(F.lit(0), F.array_min(spans) - (F.size(lists) - 1))
 
 
-def phrase_evidence(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None, n_terms: int | None = None) -> DataFrame:
-    """(query_id, doc_id, field, exact, gap, bonus) wherever a field holds every original term."""
-    want = Q.query_positions(processed)
-    hits = index.postings.select("channel", "term", "field", "doc_id", "positions").join(_small(want, n_terms), ["channel", "term"])
-    grouped = _allowed(hits, allowed).groupBy("query_id", "doc_id", "field", "n_terms").agg(F.sort_array(F.collect_list(F.struct("term_pos", "positions"))).alias("l"))
-    full = grouped.filter(F.size("l") == F.col("n_terms")).withColumn("lists", F.transform("l", lambda x: x["positions"]))
-    full = full.withColumns({"exact": phrase_count(F.col("lists")), "gap": minimum_gap(F.col("lists"))})
-    w = _by_field(params.weights, 1.0)
-    return full.select("query_id", "doc_id", "field", "exact", "gap", (params.phrase * F.col("exact") * w + params.proximity * w / (F.col("gap") + 1)).alias("bonus"))
-
-
-def _results(fields: DataFrame, documents: DataFrame) -> DataFrame:
-    """Field rows (query_id, doc_id, field, score, terms) to ranked documents with explanations."""
-    per = fields.groupBy("query_id", "doc_id").agg(
-        F.sum("score").alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "score")))).alias("field_scores"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("matched_terms"), F.sort_array(F.collect_set("field")).alias("matched_fields"),
+def _parts(index: Index, params: S.Bm25f) -> dict[str, Column]:
+    """Each field's weighted, length-normalised frequency of the row's term; null where the field lacks it."""
+    avg, out = index.averages(), {}
+    for f in S.FIELDS:
+        b, w = params.b.get(f, 0.75), params.weights.get(f, 1.0)
+        rel = F.col(f"{f}_len") / F.lit(avg[f]) if avg[f] > 0 else F.lit(1.0)
+        out[f] = w * F.col(f"{f}_tf") / F.greatest(1 - b + b * rel, F.lit(1e-9))
+    return out
+
+
+def _evidence(asked: Asked, index: Index, pairs: DataFrame, n: int) -> DataFrame:
+    """(query_id, doc_id, <field>_exact, <field>_gap) of pairs whose document has a field with all of the query's terms."""
+    places = asked.terms.filter(F.size("places") > 0).select("query_id", "channel", "term", "places")
+    post = index.postings.select("channel", "term", "doc_id", *[f"{f}_pos" for f in S.FIELDS])
+    rows = asked.hits(post, None, places).join(small(pairs, n), ["query_id", "doc_id"])
+    placed = F.inline(F.transform("places", lambda p: F.struct(p.alias("place"))))
+    got = rows.select("query_id", "doc_id", "_n_terms", *[f"{f}_pos" for f in S.FIELDS], placed).groupBy("query_id", "doc_id", "_n_terms").agg(F.array_sort(F.collect_list(F.struct("place", *[F.col(f"{f}_pos").alias(f) for f in S.FIELDS]))).alias("_rows"))
+    for f in S.FIELDS:
+        lists = F.filter(F.col(f"_rows.{f}"), lambda x: x.isNotNull())
+        got = got.withColumn(f"_l_{f}", F.when(F.size(lists) == F.col("_n_terms"), lists))
+    return got.select("query_id", "doc_id", *[x.alias(f"{f}_{name}") for f in S.FIELDS for name, x in (("exact", phrase_count(F.col(f"_l_{f}"))), ("gap", minimum_gap(F.col(f"_l_{f}"))))])
+
+
+def bm25f_scores(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, terms, <field>, <field>_exact, <field>_gap): each field's score and its evidence, before names and ranks.
+
+    <field> is null where the field holds no term; exact and gap where it does not hold every original term of two or more.
+    Postings are summed where they lie and without positions; only documents with a field that holds all of a query's
+    terms are looked up again with them.
+    """
+    asked = Asked(index, processed)
+    hits = asked.hits(index.postings.select("channel", "term", "doc_id", *[f"{f}_{x}" for f in S.FIELDS for x in ("tf", "len")]), allowed)
+    hits = hits.withColumns({f"_p_{f}": p for f, p in _parts(index, params).items()})
+    hits = hits.withColumn("_ctf", reduce(add, [F.coalesce(F.col(f"_p_{f}"), F.lit(0.0)) for f in S.FIELDS]))
+    # the term's score is shared out to the fields by their parts of its combined frequency
+    hits = hits.withColumn("_unit", idf_bm25(index.n) * (params.k1 + 1) / (params.k1 + F.col("_ctf")) * H.log_term_frequency(F.col("qtf")) * F.col("boost"))
+    summed = hits.groupBy("query_id", "doc_id").agg(
+        *[F.sum(F.col("_unit") * F.col(f"_p_{f}")).alias(f) for f in S.FIELDS], *[F.sum(F.when(F.col(f"{f}_tf").isNotNull(), F.size("places"))).alias(f"_c_{f}") for f in S.FIELDS], *[c.alias(k) for k, c in asked.marks().items()]
     )
-    full = per.join(documents.select("doc_id", "title"), "doc_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "title", "doc_id")
-    return full.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "doc_id", "title", "score", "field_scores", "matched_terms", "matched_fields")
-
-
-def bm25f(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), filters: S.Filters | None = None, n_terms: int | None = None) -> DataFrame:
-    """All documents that match, ranked for each query, with field scores that add up to the score."""
-    allowed = Q.filter_documents(index.documents, filters)
-    base = bm25f_fields(index, processed, params, allowed, n_terms)
-    extra = phrase_evidence(index, processed, params, allowed, n_terms).filter("bonus > 0")
-    both = base.unionByName(extra.select("query_id", "doc_id", "field", F.col("bonus").alias("score"), F.array().cast("array<string>").alias("terms")))
-    fields = both.groupBy("query_id", "doc_id", "field").agg(F.sum("score").alias("score"), F.flatten(F.collect_list("terms")).alias("terms"))
-    return _results(fields, index.documents)
-
-
-def tfidf(index: Index, processed: DataFrame, weights: dict[str, float] = S.TFIDF_WEIGHTS, filters: S.Filters | None = None, n_terms: int | None = None) -> DataFrame:
-    """TF-IDF with field weights on the documents' side and unweighted document norms."""
-    allowed = Q.filter_documents(index.documents, filters)
-    terms = Q.query_terms(processed).join(index.term_stats.select("channel", "term", "df"), ["channel", "term"])
-    terms = terms.withColumn("idf", idf_tfidf(index.n)).withColumn("qw", H.log_term_frequency(F.col("qtf")) * F.col("idf") * F.col("boost"))
+    rows = scratch(summed.join(asked.lists(), "query_id"), "bm25f-sums")
+    whole = reduce(or_, [F.coalesce(F.col(f"_c_{f}") == F.col("_n_terms"), F.lit(False)) for f in S.FIELDS])
+    pairs = rows.filter(whole & (F.col("_n_terms") >= 2)).select("query_id", "doc_id", "_n_terms")
+    n = pairs.count()
+    found = rows.select("query_id", "doc_id", asked.held().alias("terms"), *S.FIELDS)
+    if not n:
+        return found.select("*", *[F.lit(None).cast("int").alias(f"{f}_{x}") for f in S.FIELDS for x in ("exact", "gap")])
+    extra = scratch(_evidence(asked, index, pairs, n), "bm25f-evidence")
+    return found.join(small(extra, n), ["query_id", "doc_id"], "left")
+
+
+def bonus(f: str, params: S.Bm25f) -> Column:
+    """What the evidence in a field adds to its score."""
+    w = params.weights.get(f, 1.0)
+    return F.coalesce(params.phrase * F.col(f"{f}_exact") * w + params.proximity * w / (F.col(f"{f}_gap") + 1), F.lit(0.0))
+
+
+def phrase_evidence(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, field, exact, gap, bonus) wherever a field holds every original term."""
+    rows = bm25f_scores(index, processed.filter(F.size("terms") >= 2), params, allowed)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_exact").alias("exact"), F.col(f"{f}_gap").alias("gap"), bonus(f, params).alias("bonus")) for f in S.FIELDS])
+    return rows.select("query_id", "doc_id", F.inline(F.filter(each, lambda x: x["exact"].isNotNull())))
+
+
+def _explained(rows: DataFrame) -> DataFrame:
+    """Rows with a score or null by field: adds score, field_scores, matched_terms and matched_fields."""
+    each = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in sorted(S.FIELDS)]), lambda x: x["value"].isNotNull())
+    score = reduce(add, [F.coalesce(F.col(f), F.lit(0.0)) for f in S.FIELDS])
+    return rows.select("query_id", "doc_id", score.alias("score"), F.map_from_entries(each).alias("field_scores"), F.col("terms").alias("matched_terms"), F.transform(each, lambda x: x["key"]).alias("matched_fields"))
+
+
+def scored_bm25f(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), filters: S.Filters | None = None) -> DataFrame:
+    """All documents that match, with field scores that add up to the score; not ranked."""
+    rows = bm25f_scores(index, processed, params, Q.filter_documents(index.documents, filters))
+    return _explained(rows.withColumns({f: F.col(f) + bonus(f, params) for f in S.FIELDS}))
+
+
+def scored_tfidf(index: Index, processed: DataFrame, weights: dict[str, float] = S.TFIDF_WEIGHTS, filters: S.Filters | None = None) -> DataFrame:
+    """TF-IDF with field weights on the documents' side and unweighted document norms; not ranked."""
+    asked = Asked(index, processed)
+    idf = idf_tfidf(index.n)
+    terms = asked.stats.withColumn("idf", idf).withColumn("qw", H.log_term_frequency(F.col("qtf")) * F.col("idf") * F.col("boost"))
     terms = terms.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
-    hits = index.postings.select("channel", "term", "field", "doc_id", "tf").join(_small(terms.select("query_id", "channel", "term", "idf", "qw", "qnorm"), n_terms), ["channel", "term"])
-    scored = _allowed(hits, allowed).join(index.doc_norms, ["channel", "doc_id"])
-    one = F.col("qw") * H.log_term_frequency(F.col("tf")) * F.col("idf") * _by_field(weights, 1.0) / (F.col("norm") * F.col("qnorm"))
-    fields = scored.withColumn("one", one).groupBy("query_id", "doc_id", "field").agg(F.sum("one").alias("score"), F.collect_set("term").alias("terms"))
-    return _results(fields, index.documents)
+    hits = asked.hits(index.postings.select("channel", "term", "doc_id", *[f"{f}_tf" for f in S.FIELDS]), Q.filter_documents(index.documents, filters), terms)
+    unit = F.col("qw") * F.col("idf") / F.col("qnorm")
+    each = {f: F.when(F.col(f"{f}_tf").isNotNull(), weights.get(f, 1.0) * unit * H.log_term_frequency(F.col(f"{f}_tf"))) for f in S.FIELDS}
+    summed = hits.groupBy("query_id", "channel", "doc_id").agg(*[F.sum(c).alias(f) for f, c in each.items()], *[c.alias(k) for k, c in asked.marks().items()])
+    rows = summed.join(index.doc_norms, ["channel", "doc_id"]).join(asked.lists(), "query_id")
+    return _explained(rows.select("query_id", "doc_id", asked.held().alias("terms"), *[(F.col(f) / F.col("norm")).alias(f) for f in S.FIELDS]))
+
+
+def named(scored: DataFrame, index: Index, filters_by_query: DataFrame | None = None) -> DataFrame:
+    """Adds the title, by which ties are ordered; keeps what passes its query's own filters (see Q.query_filters)."""
+    docs = index.documents.select("doc_id", "title", *(Q.FILTER_COLUMNS if filters_by_query is not None else ()))
+    out = scored.join(docs, "doc_id")
+    if filters_by_query is not None:
+        out = out.join(small(filters_by_query, filters_by_query.count()), "query_id").filter(Q.row_predicate())
+    return out.select("query_id", "doc_id", "title", "score", "field_scores", "matched_terms", "matched_fields")
+
+
+def order() -> list[Column]:
+    return [F.desc(F.round("score", 9)), F.col("title"), F.col("doc_id")]
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Adds each query's rank; a filter on it limits every task's rows before they are dealt by query."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order()))
+    return found.withColumn("rank", rank).select("query_id", "rank", "doc_id", "title", "score", "field_scores", "matched_terms", "matched_fields")
+
+
+def bm25f(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), filters: S.Filters | None = None, filters_by_query: DataFrame | None = None) -> DataFrame:
+    """All documents that match, ranked for each query."""
+    return ranked(named(scored_bm25f(index, processed, params, filters), index, filters_by_query))
+
+
+def tfidf(index: Index, processed: DataFrame, weights: dict[str, float] = S.TFIDF_WEIGHTS, filters: S.Filters | None = None, filters_by_query: DataFrame | None = None) -> DataFrame:
+    return ranked(named(scored_tfidf(index, processed, weights, filters), index, filters_by_query))
+
+
+def found_by_one(index: Index, text: str, ranker: str, filters: S.Filters | None = None, params: S.Bm25f = S.Bm25f(), expansions: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The processed query and all that it finds, unranked. BM25F expands concepts, TF-IDF does not unless told to."""
+    if expansions is None:
+        expansions = Q.EXPANSIONS if ranker == "bm25f" else {}
+    spark = index.documents.sparkSession
+    q = Q.process(spark.createDataFrame([("q", text)], "query_id string, text string"), expansions, segmenter=index.segmenter)
+    return q, named(scored_bm25f(index, q, params, filters) if ranker == "bm25f" else scored_tfidf(index, q, filters=filters), index)
+
+
+def top(found: DataFrame, k: int, skip: int = 0) -> DataFrame:
+    """Ranks skip + 1 to skip + k of one query's results: each task keeps its best, nothing is sorted whole."""
+    best = found.orderBy(*order()).offset(skip).limit(k)
+    # at most k rows are numbered
+    return best.withColumn("rank", (F.row_number().over(Window.orderBy(*order())) + skip).cast("int"))
 
 
 def search(index: Index, text: str, ranker: str = "bm25f", top_k: int = 10, filters: S.Filters | None = None, params: S.Bm25f = S.Bm25f(), expansions: dict | None = None) -> DataFrame:
-    """The top documents of one query. BM25F expands concepts, TF-IDF does not unless told to."""
+    """The top documents of one query, with the document's own columns."""
     if top_k <= 0:
         raise ValueError("top_k must be positive")
-    spark = index.documents.sparkSession
-    if expansions is None:
-        expansions = Q.EXPANSIONS if ranker == "bm25f" else {}
-    q = Q.process(spark.createDataFrame([("q", text)], "query_id string, text string"), expansions)
-    found = bm25f(index, q, params, filters, 1000) if ranker == "bm25f" else tfidf(index, q, filters=filters, n_terms=1000)
-    return found.filter(F.col("rank") <= top_k).orderBy("rank")
+    q, found = found_by_one(index, text, ranker, filters, params, expansions)
+    extra = index.documents.select("doc_id", "url", "source", "image_url", "categories", "cook_time_minutes", "difficulty")
+    expanded = q.select(F.col("query_id"), "expanded_terms")
+    return top(found, top_k).join(extra, "doc_id").join(F.broadcast(expanded), "query_id").orderBy("rank")  # one query, one row

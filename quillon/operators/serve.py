@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.snippets import PRIORITY, snippet_column
 from . import index as X
-from . import query as Q
 from . import rank as R
 
 RANKERS = ("bm25f", "tfidf")
@@ -31,7 +30,7 @@ class ServiceError(Exception):
 
 
 def integer(name: str, value: object, default: int, least: int, most: int | None = None) -> int:
-    if value is None:
+    if value in (None, ""):
         return default
     try:
         n = int(str(value))
@@ -42,69 +41,88 @@ def integer(name: str, value: object, default: int, least: int, most: int | None
     return n
 
 
-def page(ranked: DataFrame, number: int, size: int) -> tuple[DataFrame, dict]:
-    """One page of ranked rows, and where it lies; a page past the end is empty."""
-    total = ranked.count()
+def page(found: DataFrame, number: int, size: int) -> tuple[DataFrame, dict]:
+    """One page of a query's unranked results, and where it lies; a page past the end is empty."""
+    total = found.count()
     start = (number - 1) * size
-    rows = ranked.orderBy("rank").offset(start).limit(size)
-    return rows, {"page": number, "page_size": size, "total_results": total, "total_pages": -(-total // size), "has_previous": number > 1, "has_next": start + size < total}
+    return R.top(found, size, start), {"page": number, "page_size": size, "total_results": total, "total_pages": -(-total // size), "has_previous": number > 1, "has_next": start + size < total}
 
 
-def facets(documents: DataFrame) -> DataFrame:
-    """(facet, value, count) over all rows: categories one by one, difficulties and methods where present."""
-    cats = documents.select(F.lit("categories").alias("facet"), F.explode("categories").alias("value"))
-    one = lambda name, c: documents.filter(F.coalesce(F.col(c), F.lit("")) != "").select(F.lit(name).alias("facet"), F.col(c).alias("value"))
-    every = cats.unionByName(one("difficulties", "difficulty")).unionByName(one("cooking_methods", "cooking_method"))
-    return every.groupBy("facet", "value").agg(F.count("*").alias("count"))
+#: Facets and the document columns that they count.
+FACETS = {"categories": "categories", "difficulties": "difficulty", "cooking_methods": "cooking_method"}
+
+
+def facets(documents: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, facet, value, count) over all rows: categories one by one, difficulties and methods where present."""
+    by = by or []
+    none = F.array().cast("array<string>")
+    values = {name: F.coalesce("categories", none) if c == "categories" else F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)).otherwise(none) for name, c in FACETS.items()}
+
+    def labelled(name: str) -> Column:
+        return F.transform(values[name], lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    every = [labelled(name) for name in FACETS]
+    return documents.select(*by, F.inline(F.concat(*every))).groupBy(*by, "facet", "value").agg(F.count("*").alias("count"))
 
 
 def facet_order() -> list:
     return [F.col("facet"), F.desc("count"), F.lower("value"), F.col("value")]
 
 
+def serialized(rows: DataFrame, documents: DataFrame, expanded: list[str]) -> DataFrame:
+    """The rows of one page as a client sees them: document columns, rounded scores, snippet, explanation."""
+    more = F.array(*[F.lit(x) for x in expanded]).cast("array<string>")
+    hits = rows.drop("title").join(documents, "doc_id").withColumn("snippet", snippet_column(F.struct(*PRIORITY), F.col("matched_fields"), F.concat("matched_terms", more)))
+    explained = F.struct("matched_terms", more.alias("expanded_terms"), "matched_fields", F.transform_values("field_scores", lambda _, v: F.round(v, 6)).alias("field_scores"))
+    return hits.select(
+        "rank", "doc_id", F.round("score", 6).alias("score"), "title", "url", "source", "image_url", "categories", "difficulty", "cook_time_minutes", "total_time_minutes", "servings", "snippet", explained.alias("explanation"),
+    ).orderBy("rank")
+
+
 class Engine:
-    """Answers requests over one index, whose hot tables stay cached for the session."""
+    """Answers requests over one index. A small index stays cached for the session."""
+
+    #: Documents up to which the index's tables are cached.
+    CACHED_DOCS = 100_000
 
     def __init__(self, index: X.Index, params: S.Bm25f = S.Bm25f()):
         self.index, self.params = index, params
-        for t in (index.documents, index.postings, index.field_lengths, index.term_stats, index.doc_norms):
-            t.persist()
+        if index.n <= self.CACHED_DOCS:
+            for t in (index.documents, index.postings, index.term_stats, index.doc_norms):
+                t.persist()
 
     def health(self) -> dict:
-        return {"status": "ok", "api_version": API_VERSION, "rankers": list(RANKERS), "statistics": X.statistics(self.index).first().asDict()}
+        return {"status": "ok", "api_version": API_VERSION, "rankers": sorted(RANKERS), "index": X.statistics(self.index).first().asDict()}
 
-    def search(self, q: str | None, ranker: str = "bm25f", page_number: object = 1, page_size: object = 10, **filters: object) -> dict:
+    def search(self, q: str | None, ranker: str | None = "bm25f", page_number: object = 1, page_size: object = 10, **filters: object) -> dict:
         """One page with facets over all results. Checks run in order: q, ranker, page, page_size, filters."""
-        if not (q or "").strip():
-            raise ServiceError("missing_query", "q must not be empty")
+        q = " ".join((q or "").split())
+        if not q:
+            raise ServiceError("missing_query", "q must not be empty", details={"parameter": "q"})
+        ranker = (ranker or "bm25f").casefold()
         if ranker not in RANKERS:
-            raise ServiceError("invalid_ranker", f"unknown ranker {ranker!r}", details={"rankers": list(RANKERS)})
+            raise ServiceError("invalid_ranker", f"unknown ranker {ranker!r}", details={"parameter": "ranker"})
         number = integer("page", page_number, 1, 1)
         size = integer("page_size", page_size, 10, 1, MAX_PAGE_SIZE)
         limit = filters.get("max_time_minutes")
-        limit = None if limit is None else integer("max_time", limit, 0, 0)
+        limit = None if limit in (None, "") else integer("max_time", limit, 0, 0)
         try:
-            chosen = S.Filters(limit, filters.get("difficulty"), *(tuple(filters.get(k) or ()) for k in ("categories", "ingredients", "cooking_methods")))
+            chosen = S.Filters(limit, filters.get("difficulty") or None, *(tuple(filters.get(k) or ()) for k in ("categories", "ingredients", "cooking_methods")))
         except (TypeError, ValueError) as e:
             raise ServiceError("invalid_filter", str(e)) from e
         began = time.perf_counter()
-        spark = self.index.documents.sparkSession
-        processed = Q.process(spark.createDataFrame([("q", q)], "query_id string, text string"), Q.EXPANSIONS if ranker == "bm25f" else {})
-        rank = (lambda: R.bm25f(self.index, processed, self.params, chosen, 1000)) if ranker == "bm25f" else (lambda: R.tfidf(self.index, processed, filters=chosen, n_terms=1000))
-        ranked = rank().persist()
+        processed, found = R.found_by_one(self.index, q, ranker, chosen, self.params)
+        asked = processed.select("normalized", "expanded_terms").first()
+        found = found.persist()
         try:
-            rows, where = page(ranked, number, size)
-            expanded = processed.select("expanded_terms").first()[0]
+            rows, where = page(found, number, size)
             docs = self.index.documents
-            hits = rows.drop("title").join(docs, "doc_id").withColumn("snippet", snippet_column(F.struct(*PRIORITY), F.col("matched_fields"), F.concat("matched_terms", F.array(*[F.lit(x) for x in expanded]).cast("array<string>"))))
-            shown = hits.select(
-                "rank", "doc_id", F.round("score", 6).alias("score"), F.transform_values("field_scores", lambda _, v: F.round(v, 6)).alias("field_scores"), "title", "url", "source", "image_url", "categories",
-                "cook_time_minutes", "total_time_minutes", "difficulty", "cooking_method", "matched_terms", "matched_fields", "snippet",
-            ).orderBy("rank")
-            found = facets(ranked.select("doc_id").join(docs.select("doc_id", "categories", "difficulty", "cooking_method"), "doc_id")).orderBy(*facet_order())
-            groups: dict[str, list] = {"categories": [], "difficulties": [], "cooking_methods": []}
-            for r in found.toLocalIterator():
+            shown = [r.asDict(True) for r in serialized(rows, docs, asked.expanded_terms).collect()]
+            counts = facets(found.select("doc_id").join(docs.select("doc_id", *FACETS.values()), "doc_id")).orderBy(*facet_order())
+            groups: dict[str, list] = {name: [] for name in FACETS}
+            for r in counts.toLocalIterator():
                 groups[r.facet].append({"value": r.value, "count": r["count"]})
-            return {"query": q, "ranker": ranker, "expanded_terms": expanded, "results": [r.asDict(True) for r in shown.collect()], "facets": groups, "pagination": where, "took_ms": round(1000 * (time.perf_counter() - began), 3)}
         finally:
-            ranked.unpersist()
+            found.unpersist()
+        said = {"text": q, "normalized": asked.normalized, "ranker": ranker, "expanded_terms": asked.expanded_terms, "filters": chosen.to_dict()}
+        return {"query": said, "pagination": where, "facets": groups, "results": shown, "took_ms": round(1000 * (time.perf_counter() - began), 3)}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 FIELDS = ("title", "description", "ingredients", "instructions", "categories", "cooking_method")
 CHANNELS = ("normalized", "accentless")
 LISTS = ("ingredients", "instructions", "categories")
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 _S, _I, _A = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
 RECIPE = T.StructType(
@@ -61,6 +61,9 @@ class Filters:
         if self.max_time_minutes is not None and self.max_time_minutes < 0:
             raise ValueError("max_time_minutes must not be negative")
 
+    def to_dict(self) -> dict:
+        return {"max_time_minutes": self.max_time_minutes, "difficulty": self.difficulty, "categories": list(self.categories), "ingredients": list(self.ingredients), "cooking_methods": list(self.cooking_methods)}
+
     @property
     def active(self) -> bool:
         return self.max_time_minutes is not None or bool(self.difficulty or self.categories or self.ingredients or self.cooking_methods)

@@ -9,10 +9,12 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import path_exists
+
 QUERIES = T.StructType([
     T.StructField("query_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("intent", T.StringType()),
     T.StructField("filters", T.StructType([
@@ -29,8 +31,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Strict JSON lines: a broken line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Strict JSON lines, blank ones skipped: a broken line is an error that names its file and line."""
+    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r"))
+    broken = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    if lines.filter(broken).limit(1).count():
+        file, line = _first_broken(spark, path, parsed)
+        raise ValueError(f"{file}:{line}: broken JSON line")
+    return lines.select("r.*").drop("_bad")
+
+
+def _first_broken(spark: SparkSession, path: str, parsed) -> tuple[str, int]:
+    """File and line number of a broken line; only for the error, so one task may number the lines of a file."""
+    numbered = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    order = Window.partitionBy("file").orderBy("block", "id")
+    rows = numbered.withColumn("line", F.row_number().over(order)).filter("trim(value) <> ''").withColumn("r", parsed)
+    got = rows.filter(F.col("r").isNull() | F.col("r._bad").isNotNull()).orderBy("file", "line").first()
+    return got.file, got.line
 
 
 def require_unique(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -47,11 +65,6 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
     return require_unique(q, ["query_id"], "query_id")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def load_judgments(spark: SparkSession, path: str) -> DataFrame:
     """Judgments; a missing file has none."""
     if not path_exists(spark, path):
@@ -66,6 +79,12 @@ def save_judgments(j: DataFrame, path: str) -> None:
     j.select("query_id", "doc_id", "relevance").orderBy("query_id", "doc_id").coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_judgments(rows: list[tuple[str, str, int]], path: str) -> None:
+    """Judgments that a person makes, one file, sorted and replaced whole."""
+    lines = [json.dumps({"query_id": q, "doc_id": d, "relevance": r}, ensure_ascii=False, sort_keys=True) for q, d, r in sorted(rows)]
+    _replace(path, "".join(f"{x}\n" for x in lines).encode())
+
+
 def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
     df.write.mode("overwrite").option("compression", compression).json(path)
 

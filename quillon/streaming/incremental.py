@@ -1,4 +1,4 @@
-"""Incremental indexing: new document files are appended to the postings as they arrive."""
+"""Incremental indexing: new document files are indexed as they arrive, and made an index at any time."""
 
 from __future__ import annotations
 
@@ -9,29 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index as X
 from ..operators import ingest as I
+from ..storage import path_exists, scratch
 
 
-def append_postings(spark: SparkSession, source: str, schema: T.StructType, index: str, checkpoint: str) -> StreamingQuery:
-    """Start a stream over Parquet files of documents. Documents already indexed are left out of a batch.
+def _table(spark: SparkSession, index: str, name: str, before: int | None = None) -> DataFrame | None:
+    """A streamed table, of the batches before a number if one is given; None if there is none yet."""
+    if not path_exists(spark, f"{index}/{name}"):
+        return None
+    rows = spark.read.parquet(f"{index}/{name}")
+    return rows if before is None else rows.filter(F.col("batch_id") < before)
 
-    A batch that is tried again finds its own rows by batch_id and does not append them twice.
+
+def append_documents(spark: SparkSession, source: str, schema: T.StructType, index: str, checkpoint: str, segmenter=None) -> StreamingQuery:
+    """Start a stream over Parquet files of documents. Documents of earlier batches are left out of a batch.
+
+    Each batch overwrites folders of its own (batch_id=N), so a batch that is tried again, even after a
+    crash between its tables, leaves the same rows once.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        seen_path = f"{index}/stream_documents"
         docs = batch.dropDuplicates(["doc_id"])
-        try:
-            seen = spark.read.parquet(seen_path)
-            if seen.filter(F.col("batch_id") == batch_id).limit(1).count():
-                return
+        seen = _table(spark, index, "stream_documents", batch_id)
+        if seen is not None:
             docs = docs.join(seen.select("doc_id"), "doc_id", "left_anti")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        docs = I.scratch(spark, docs, "stream-docs")
-        rows = I.processed(docs)
-        X.postings(rows).write.mode("append").partitionBy("channel").parquet(f"{index}/stream_postings")
-        X.field_lengths(rows).write.mode("append").parquet(f"{index}/stream_lengths")
-        docs.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(seen_path)
+        docs = scratch(I.with_keys(docs), "stream-docs")
+        tokens = scratch(I.tokenized(docs, segmenter=segmenter), "stream-tokens")
+        made = {"stream_postings": X.postings(tokens), "stream_lengths": X.field_lengths(tokens), "stream_documents": docs}
+        for name, rows in made.items():
+            rows.write.mode("overwrite").parquet(f"{index}/{name}/batch_id={batch_id}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_index(spark: SparkSession, index: str, path: str, segmenter=None) -> X.Index:
+    """The streamed batches as a saved index, statistics and norms over all of them."""
+    docs, post, lengths = (_table(spark, index, f"stream_{x}").drop("batch_id") for x in ("documents", "postings", "lengths"))
+    n = docs.count()
+    stats = scratch(X.term_stats(post), "stream-stats")
+    X.Index(docs, post, lengths, stats, X.doc_norms(post, stats, n), n, "custom" if segmenter else "basic", segmenter).save(path)
+    return X.load(spark, path, segmenter)
