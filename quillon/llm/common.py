@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch, shared_dir, small  # noqa: F401  (for the operators)
+
 #: Rows of one Arrow batch: texts of 100 KB make 25 MB, so a Python worker stays small.
 ARROW_ROWS = 256
-#: A table of ids and small numbers of at most so many rows (some 30 MB) may be broadcast; larger ones are shuffled.
-BROADCAST_IDS = 1_000_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -22,18 +21,9 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

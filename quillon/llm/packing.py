@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, column, materialize, task, texts, tune
+from .common import column, materialize, small, task, texts, tune
 
 LENGTH = 2048
 SEPARATOR = 0
@@ -209,9 +209,8 @@ def merge_bins(under: DataFrame) -> DataFrame | None:
         keyed = items.withColumn("_group", F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(groups)))
         moved = materialize(keyed.groupBy("_group").applyInPandas(_merge_group, "bin long, into long, shift long, fill long, total long"), "pack-round")
         step = moved.select(F.col("bin").alias("_b"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
-        step = F.broadcast(step) if n <= BROADCAST_IDS else step
         placed = materialize(
-            placed.join(step, F.col("sequence_id") == F.col("_b"), "left").select("bin", F.coalesce("_into", "sequence_id").alias("sequence_id"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")), "pack-placed"
+            placed.join(small(step, n), F.col("sequence_id") == F.col("_b"), "left").select("bin", F.coalesce("_into", "sequence_id").alias("sequence_id"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")), "pack-placed"
         )
         left = moved.filter((F.col("bin") == F.col("into")) & (F.col("total") < LENGTH - CLOSE_SLACK)).select("bin", F.col("total").alias("fill"))
         saved = moved.filter(F.col("bin") != F.col("into")).count()
@@ -235,7 +234,6 @@ def pack(docs: DataFrame, keep: list[str] | None = None, tokenizer_path: str | N
     columns = [*keep, "piece", "start", "length", "ids_crc32"]
     if placed is None:
         return local.select(*columns, F.col("bin").alias("sequence_id"), "offset")
-    few = placed.count() <= BROADCAST_IDS
-    return local.join(F.broadcast(placed) if few else placed, "bin", "left").select(
+    return local.join(small(placed, placed.count()), "bin", "left").select(
         *columns, F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset")
     )
