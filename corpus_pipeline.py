@@ -26,8 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; repeated rows of it go too."""
     found = common.materialize(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "copies")
-    few = found.count() <= common.BROADCAST_IDS
-    rest = docs.select(*COLUMNS).join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*COLUMNS)
+    rest = docs.select(*COLUMNS).join(common.small(found, found.count()), "doc_id", "left_anti").select(*COLUMNS)
     ids = rest.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not ids.limit(1).count():
         return rest
