@@ -266,7 +266,7 @@ def hidden_links(docs: DataFrame, members: DataFrame, cut: float | None = FINE_C
     shape = materialize(shape.select("grp", "main", "total", _blocks(F.col("total")).alias("n_all"), F.greatest(F.lit(1), _blocks(F.col("total") - F.col("largest"))).alias("n_minor")), "near-shape")
     light = shape.filter("n_all = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shared = -(-light // LEAST_BLOCK) or 1
-    dealt = rows.join(shape, "grp").withColumn("minor", F.col("component") != F.col("main"))
+    dealt = rows.join(small(shape, shape.count()), "grp").withColumn("minor", F.col("component") != F.col("main"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["grp", "node", "component", "minor", "n_all"]

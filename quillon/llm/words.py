@@ -1,6 +1,7 @@
 """Hashes of all words of a batch of texts, in numpy.
 
-Words are runs of bytes other than ASCII white space, A-Z lowered. A word's hash is a polynomial in its
+Words are runs of bytes that a rule takes for theirs (not ASCII white space, or letters and digits),
+A-Z lowered. A word's hash is a polynomial in its
 bytes modulo 2^64, mixed: prefix sums over the whole batch give every word's value in a few array
 operations, without a Python object a word. Equal words have equal hashes; different ones differ but
 for a chance of some 2^-64 a pair.
@@ -18,8 +19,9 @@ import pyarrow as pa
 CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words: ASCII white space; or all ASCII but letters and digits.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Lowered byte plus 1, so that no byte counts 0.
 _VALUE = np.array([(b + 32 if 65 <= b <= 90 else b) + 1 for b in range(256)], np.uint64)
 
@@ -41,9 +43,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
 
 
-def _hash(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in data and where they begin; no word goes on over a start."""
-    space = _SPACE[data]
+def _hash(data: np.ndarray, starts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in data, where they begin and end; no word goes on over a start."""
+    space = between[data]
     word = ~space
     first, last = word.copy(), word.copy()
     first[1:] &= space[:-1]
@@ -55,10 +57,10 @@ def _hash(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     up, down = _tables() if len(data) <= CHUNK else (_powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), a
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), a, b
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of at most CHUNK bytes that end where a text or a word does; a longer word stays whole."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
@@ -69,26 +71,37 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
                 to = whole
             else:  # a text longer than a piece: back to its last white space, or on to its next
                 stop = int(offsets[np.searchsorted(offsets, at, "right")])
-                gaps = np.flatnonzero(_SPACE[data[at:to]])
-                later = np.flatnonzero(_SPACE[data[to:stop]]) if not len(gaps) else gaps
+                gaps = np.flatnonzero(between[data[at:to]])
+                later = np.flatnonzero(between[data[to:stop]]) if not len(gaps) else gaps
                 to = at + int(gaps[-1]) + 1 if len(gaps) else to + int(later[0]) + 1 if len(later) else stop
         yield at, to
         at = to
 
 
+class Words:
+    """All words of a batch: hash, begin and end (bytes of data), and the first word of each text (at, with the end)."""
+
+    def __init__(self, texts: pa.Array, between: np.ndarray = WHITE):
+        col = texts.cast(pa.binary()).fill_null(b"")
+        n = len(col)
+        raw, body = col.buffers()[1:] if n else (None, None)
+        self.offsets = np.frombuffer(raw, np.int32)[col.offset : col.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        self.data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for a, b in _cuts(self.data, self.offsets, between):
+            inside = self.offsets[(self.offsets >= a) & (self.offsets < b)] - a
+            h, begin, end = _hash(self.data[a:b], np.unique(inside), between)
+            for part, x in zip(parts, (h, begin + a, end + a)):
+                part.append(x)
+        self.hash, self.begin, self.end = map(np.concatenate, parts)
+        self.at = np.searchsorted(self.begin, self.offsets)
+
+    def word(self, i: int) -> bytes:
+        """The i-th word, lowered."""
+        return self.data[self.begin[i] : self.end[i]].tobytes().lower()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and where each text's begin (with the end). Null is empty."""
-    col = texts.cast(pa.binary()).fill_null(b"")
-    n = len(col)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    _, raw, body = col.buffers()
-    offsets = np.frombuffer(raw, np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in _cuts(data, offsets):
-        inside = offsets[(offsets >= a) & (offsets < b)] - a
-        h, at = _hash(data[a:b], np.unique(inside))
-        hashes.append(h)
-        places.append(at + a)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+    w = Words(texts)
+    return w.hash, w.at

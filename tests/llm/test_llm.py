@@ -113,42 +113,177 @@ def test_merge_rounds_keep_every_item(spark):
     assert len(bins) <= 1.05 * sum(p.fill for p in placed) / 2048 + 1
 
 
-def test_toxicity(spark):
+def plain_words(text):
+    return [(m.group().lower(), m.span()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+
+
+def plain_marginals(e, move):
+    """Toxic marginals of one chain by log-space forward-backward, step by step."""
+    add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    a, b = [(0.0, e[0])], [(0.0, 0.0)]
+    for x in e[1:]:
+        p = a[-1]
+        a.append((add(p[0] + move[0][0], p[1] + move[1][0]), x + add(p[0] + move[0][1], p[1] + move[1][1])))
+    for x in e[:0:-1]:
+        n = b[-1]
+        b.append(tuple(add(move[i][0] + n[0], move[i][1] + x + n[1]) for i in (0, 1)))
+    b.reverse()
+    return [1 / (1 + math.exp(min(700, (p[0] + q[0]) - (p[1] + q[1])))) for p, q in zip(a, b)]
+
+
+def plain_score(field, text):
+    """A document's score and spans from the field's weights, one word at a time."""
+    from quillon.llm.words import mix
+
+    words = plain_words(text)
+    if not words:
+        p = []
+    else:
+        import pyarrow as pa
+
+        near = [int(mix(h[None])[0] % np.uint64(toxicity.NEAR - 1)) for h in toxicity.Words(pa.array([text]), toxicity.NOT_WORD).hash]
+        e = [field.bias + sum(field.own[r] for r in toxicity.features(w.encode())) + field.prev[near[k - 1] if k else toxicity.EDGE] + field.next[near[k + 1] if k + 1 < len(words) else toxicity.EDGE] for k, (w, _) in enumerate(words)]
+        p = plain_marginals([min(30.0, max(-30.0, x)) for x in e], field.move.tolist())
+    top = min(max([1e-9, *p]), 1 - 1e-9)
+    z = float(np.dot([1.0, math.log(top / (1 - top)), math.log1p(sum(p)), math.log1p(len(p))], field.calibration))
+    hot, spans = [x > 0.5 for x in p], []
+    for k, h in enumerate(hot):
+        if h and not (k and hot[k - 1]):
+            spans.append([words[k][1][0], 0])
+        if h:
+            spans[-1][1] = words[k][1][1]
+    return 1 / (1 + math.exp(-min(30, max(-30, z)))), ",".join(f"{a}:{b}" for a, b in spans)
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    """Documents with planted words, some with endings, and labels for most; nulls, repeats, long texts and a clashing column."""
     r = random.Random(1)
-    bad = ["vilecur", "grotplum", "scabwort"]
+    bad = ["vilecur", "grotplum", "scabwort", "ölünger"]
     docs, labels = [], []
-    for i in range(400):
+    for i in range(600):
         ws = [f"w{r.randrange(60)}" for _ in range(40)]
         if i % 4 == 0:
-            ws[r.randrange(40)] = r.choice(bad) + r.choice(["", "o", "en"])
-        docs.append((i, " ".join(ws)))
+            ws[r.randrange(40)] = r.choice(bad) + r.choice(["", "o", "en", "!"])
+        docs.append((i, " ".join(ws), 0.5))
         labels.append((i, 1, int(i % 4 == 0)))
-    docs += [(1000, None), (1001, ""), (1002, "w1 VILECUR!! w2")]
-    dd, ll = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {x.doc_id: x for x in toxicity.score(dd, toxicity.train(dd, ll)).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert sum((got[i].score >= 0.5) == (i % 4 == 0) for i in held) >= 0.97 * len(held)
-    assert got[1002].score > 0.5 and got[1002].toxic_words == "1:2" and 0 <= got[1000].score < 0.5 and got[1000].score == got[1001].score
+    docs += [(1000, None, 1.0), (1001, "", None), (1002, "w1 é VILECUR!! w2", 0.0), docs[4], (None, docs[8][1], 0.1), (1003, "w1 w2 " * 10_000 + "Grotplumen, scabwort w3", 0.2), (1004, "w1 w2 " * 10_000, 0.2)]
+    labels += [(None, 1, 1), (4, 0, 0), (4000, 1, 1), (1001, 1, None)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, toxic):
+    docs, dd, ll = toxic
+    field = toxicity.train(dd, ll)
+    got = toxicity.score(dd, field).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x)
+    assert len(by[4]) == 2 and by[4][0] == by[4][1] and by[None][0].score == by[8][0].score
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((by[i][0].score >= 0.5) == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    assert by[1002][0].score > 0.5 and by[1002][0].toxic_spans == "5:12" and by[1000][0].score == by[1001][0].score < 0.5 and min(x.score for x in got) == by[1000][0].score
+    assert by[1003][0].toxic_spans == "60000:60010,60012:60020" or by[1003][0].toxic_spans == "60000:60020"
+    # the neighbours and endings count too: more rows than the planted words' own
+    assert (np.abs(field.own) > 0.01).sum() > 12 and np.abs(field.prev).max() > 0 and np.abs(field.move).max() > 0
+    for i, text, _ in docs[:30] + docs[-7:]:
+        want, spans = plain_score(field, text)
+        assert any(math.isclose(x.score, want, rel_tol=1e-6, abs_tol=1e-9) and x.toxic_spans == spans for x in by[i]), (i, want, by[i])
+
+
+def test_toxicity_query(spark, toxic, tmp_path):
+    docs, dd, ll = toxic
+    dd.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    ll.write.parquet(str(tmp_path / "labels.parquet"))
+    got = run("op2_toxicity", spark, str(tmp_path))
+    field = toxicity.train(dd, ll)
+    want = Counter((i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0, round(plain_score(field, t)[0], 3)) for i, t, _ in docs)
+    assert Counter((r["doc_id"], r["held_out"], round(r["score"], 3)) for r in got) == want and all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    for labels, score in ((ll.filter("toxic = 0"), 0.0), (ll.filter("toxic = 1"), 1.0), (ll.limit(0), 0.0)):
+        assert toxicity.train(dd, labels) == score
+
+
+def test_toxicity_gradient(spark):
+    """The sums of a shard against differences of the likelihood."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefg") * r.randrange(1, 7) for _ in range(r.randrange(1, 9))) for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(12)], pa.int32())], ["text", "toxic"])
+    streams = list(toxicity._prepare(iter([batch])))
+    field = toxicity.Field()
+    g = np.random.default_rng(3)
+    field.own, field.prev, field.next, field.bias, field.move = g.normal(size=toxicity.OWN) / 3, g.normal(size=toxicity.NEAR), g.normal(size=toxicity.NEAR), -1.0, g.normal(size=(2, 2))
+    sums = lambda: np.frombuffer(next(toxicity._gradient(field)(iter(streams))).column(0)[0].as_py(), np.float32).astype(float)
+    grad = sums()
+
+    def likelihood():
+        total = 0.0
+        for b in toxicity._streams(iter(streams)):
+            label, starts, words, own, near = b[:5]
+            before, after = toxicity.around(words, starts, near)
+            e = field.bias + field.own[own.reshape(-1, toxicity.PER_WORD)].sum(1)[words] + field.prev[before] + field.next[after]
+            for y, i, j in zip(label, starts, np.append(starts[1:], len(words))):
+                weights = {t: math.exp(sum(e[i + k] * x for k, x in enumerate(t)) + sum(field.move[a, c] for a, c in zip(t, t[1:]))) for t in __import__("itertools").product((0, 1), repeat=int(j - i))}
+                none = weights[(0,) * int(j - i)] / sum(weights.values())
+                total += math.log(1 - none + toxicity.MISLABELLED * none) if y else math.log(none)
+        return total
+
+    assert math.isclose(grad[-1], likelihood(), rel_tol=1e-5)
+    rows = toxicity.features(b"aa")
+
+    def moved(change):
+        change(1e-5)
+        up = likelihood()
+        change(-2e-5)
+        down = likelihood()
+        change(1e-5)
+        return (up - down) / 2e-5
+
+    def bias(d):
+        field.bias += d
+
+    def move(i, j):
+        def change(d):
+            field.move[i, j] += d
+
+        return change
+
+    def own(d):
+        field.own[rows[0]] += d
+
+    base = toxicity.OWN + 2 * toxicity.NEAR
+    checks = [(bias, grad[base]), *((move(i, j), grad[base + 1 + 2 * i + j]) for i in (0, 1) for j in (0, 1)), (own, grad[rows[0]])]
+    for change, want in checks:
+        assert math.isclose(moved(change), want, rel_tol=1e-3, abs_tol=1e-4), want
 
 
 def test_chain_marginals_by_enumeration():
     import itertools
 
-    f = toxicity.Field({})
+    f = toxicity.Field()
     r = np.random.default_rng(2)
     f.move = r.normal(size=(2, 2))
-    e = r.normal(size=(1, 5))
-    p, moves, z = f.marginals(e, np.ones((1, 5), bool))
-    weight = {t: math.exp(sum(e[0, i] * t[i] for i in range(5)) + sum(f.move[a, b] for a, b in zip(t, t[1:]))) for t in itertools.product((0, 1), repeat=5)}
+    e = r.normal(size=5)
+    p, moves, clean = f.marginals(e, np.array([0]))
+    weight = {t: math.exp(sum(e[i] * t[i] for i in range(5)) + sum(f.move[a, b] for a, b in zip(t, t[1:]))) for t in itertools.product((0, 1), repeat=5)}
     total = sum(weight.values())
-    assert np.allclose(p[0], [sum(w for t, w in weight.items() if t[i]) / total for i in range(5)]) and np.isclose(z[0], math.log(total)) and np.isclose(moves.sum(), 4)
+    assert np.allclose(p, [sum(w for t, w in weight.items() if t[i]) / total for i in range(5)]) and np.isclose(moves.sum(), 4) and np.isclose(clean.sum(), math.log(weight[0, 0, 0, 0, 0] / total))
+    assert np.allclose(moves[2], [sum(w for t, w in weight.items() if t[1:3] == (i, j)) / total for i in (0, 1) for j in (0, 1)])
 
 
-def test_pieces_of_long_chains_equal_the_whole():
-    f = toxicity.Field({})
-    f.move = np.array([[0.5, -1.0], [-1.0, 0.5]])
-    e = np.random.default_rng(3).normal(-2, 1.5, 1500)
-    assert np.allclose(f.tag([e, e[:3], e[:0]])[0], f.marginals(e[None], np.ones((1, 1500), bool))[0][0], atol=1e-12)
+@pytest.mark.parametrize("strength", [0.5, 3.0, 8.0])
+def test_blocks_of_chains_equal_the_whole(strength):
+    """Long and short chains in one stream, with moves that remember far, against plain recursions."""
+    f = toxicity.Field()
+    f.move = np.array([[strength, -strength], [-strength, strength]])
+    r = np.random.default_rng(3)
+    chains = [r.normal(-2, 4, n) for n in (1500, 1, 3, 40, 700, 1, 2)]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in chains])[:-1]])
+    p = f.marginals(np.concatenate(chains), starts)[0]
+    for s, c in zip(starts, chains):
+        assert np.allclose(p[s : s + len(c)], plain_marginals(c.tolist(), f.move.tolist()), atol=1e-9)
 
 
 def test_secrets(spark, data):
@@ -262,13 +397,63 @@ def test_maxent(spark, data):
     for r, w in zip(sorted(got, key=lambda r: (r["base_score"], r["n_tokens"])), want):
         assert math.isclose(r["base_score"], w[0], rel_tol=1e-9) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (w[1], w[2], n)
         assert r["score"] < 0
-    m = maxent.Model(maxent.Vocabulary(np.arange(50), np.arange(50, 0, -1), 1275, 50))
-    ctx = np.array([[1, maxent.WORD_ROWS + 2, 2 * maxent.WORD_ROWS + 3]] * 50)
-    for _ in range(3):
-        m.learn(np.arange(50), ctx)
-    head = np.arange(maxent.HEAD)
-    total = (10 ** m.log10(head, np.repeat(ctx[:1], maxent.HEAD, 0), head)).sum() + 10 ** m.log10(np.array([-1]), ctx[:1], np.array([0]))[0]
-    assert math.isclose(total, 1, rel_tol=1e-4)
+
+
+def test_maxent_is_a_distribution():
+    for known in (50, 3000):
+        v = maxent.Vocabulary(np.arange(known) * 7919, np.arange(known, 0, -1), 10 * known * known, known + 40)
+        assert (v.codes(v.token) == np.arange(known)).all() and (v.codes(v.token + 1) < 0).all()
+        m = maxent.Model(v, np.random.default_rng(1).random((known, 2 * maxent.NEIGHBOURS)))
+        codes = np.arange(known, dtype=np.int32)
+        ctx = m.contexts(codes, np.arange(known) == 0)
+        for _ in range(3):
+            m.learn(codes, ctx)
+        same = np.repeat(ctx[:, 7:8], known, 1)
+        # the words beyond: all training tokens that are not stored, and one unknown
+        beyond = v.total - v.count.sum() + 0.5 * (v.distinct - known + 1)
+        total = (10 ** m.log10(codes, same)).sum() + beyond * 10 ** m.log10(np.array([-1], np.int32), ctx[:, 7:8])[0]
+        assert math.isclose(total, 1, rel_tol=1e-3), total
+
+
+def test_maxent_against_a_plain_sum(spark):
+    """Scores of the fitted model, token by token in plain Python; and the context tells words apart."""
+    r = random.Random(4)
+    follow = {f"w{i}": [f"w{r.randrange(300)}" for _ in range(3)] for i in range(300)}
+    docs = []
+    for i in range(300):
+        words = [f"w{r.randrange(300)}"]
+        for _ in range(r.randrange(60)):
+            words.append(r.choice(follow[words[-1]]) if r.random() < 0.9 else f"rare{r.randrange(10**6)}" if r.random() < 0.2 else f"w{r.randrange(300)}")
+            if words[-1] not in follow:
+                follow[words[-1]] = [f"w{r.randrange(300)}"]
+        docs.append((i, " ".join(words)))
+    docs += [(None, None), (500, "w1 W2 unknown"), (500, "w1 W2 unknown"), (501, "w1 " * 20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model, encoded, counts, total = maxent.fit(df)
+    got = {(x.doc_id, x.n_tokens): x for x in maxent.score_encoded(model, encoded, counts, total).collect()}
+    ok = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
+    import pyarrow as pa
+
+    hashed = lambda t: maxent.tokens(pa.array([t]))[0]
+    known = Counter(h for i, t in docs if ok(i) for h in hashed(t).tolist())
+    v = maxent.Vocabulary(np.array(list(known)), np.array(list(known.values())), sum(known.values()), len(known))
+    assert total == v.total
+    base = lm = n = 0
+    for i, t in docs[:40] + docs[-4:]:
+        codes = v.codes(hashed(t))
+        ctx = model.contexts(codes, np.arange(len(codes)) == 0)
+        want = 0.0
+        for k, (code, h) in enumerate(zip(codes.tolist(), hashed(t).tolist())):
+            at = code if code >= 0 else len(v.token)
+            c, p = int(model.cls[at]), int(model.place[at])
+            x = model.bias[c].astype(float) + sum(model.table[int(ctx[f, k])].astype(float) for f in range(3))
+            soft = lambda y: y - math.log(sum(math.exp(z) for z in y))
+            want += (soft(x[:32])[c] + soft(x[32:])[p]) / math.log(10) + model.own[at] + (0 if code >= 0 else math.log10(known.get(h, 0) + 0.5))
+        x = got[i, len(codes)]
+        assert math.isclose(x.score, want, rel_tol=1e-3), (i, x.score, want)
+        base, lm, n = base + x.base_score, lm + x.score, n + 1
+    held = [x for x in got.values() if x.held_out and x.doc_id != 501]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held) and n == 44
 
 
 def brute_components(docs):
