@@ -1,9 +1,9 @@
 """Chat formatting: records of many layouts become canonical turns, then templated text with a loss mask.
 
-Schema fingerprinting: the nested field paths of a record are hashed; the hash selects a declarative
-mapping from LAYOUTS (prompt/response, instruction/input/output, message lists, turn rows). A
-mapping lists the turns' (role, path) or the list that holds them. Unknown layouts are reported, not
-guessed.
+Schema fingerprinting: the nested field paths of a table's schema, or of a JSON record, are hashed; the
+hash selects a declarative mapping from LAYOUTS (prompt/response, instruction/input/output, message
+lists, turn rows). A mapping lists the turns' (role, path) or the list that holds them. Columns that no
+layout names are left out before. Unknown layouts are reported, not guessed.
 
 The template is `### Role: text</turn>` and a line feed. Inside roles and texts, backslashes and the
 control strings get a backslash before them, which read_back removes, so any text survives.
@@ -11,7 +11,8 @@ control strings get a backslash before them, which read_back removes, so any tex
 Defined results: a null text is empty; a null role is `unknown`; turns are ordered by turn, role and
 text, nulls first, so ties and repeated rows are all kept in one order; rows with a null conversation
 form one conversation; extra columns are not read; an empty table gives an empty result. A
-conversation is streamed in order through one task turn by turn and never held as a whole.
+conversation is streamed in order through one task turn by turn and never held as a whole: its digests
+are sequential, so a conversation with very many turns keeps its task busy for long, at a turn's memory.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import tune
+from .common import task, tune
 
 HEAD, END = "### ", "</turn>"
 _CONTROL = re.compile(r"\\|###|</turn>|: ")
@@ -84,6 +86,48 @@ def canonical_turns(record: dict) -> list[tuple[str, str]] | None:
     return [turn(r[1:] if r[0] == "=" else record[r], record[t]) for r, t in layout["turns"] if not (r == "=user" and t == "input" and not record[t])]
 
 
+#: First names of all paths that layouts use.
+KNOWN_COLUMNS = frozenset(re.split(r"[.\[]", p)[0] for x in LAYOUTS for p in x["paths"])
+
+
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """Nested field paths of a schema, as `paths` gives them for a record."""
+    if isinstance(kind, T.StructType):
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields))
+    return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else {at}
+
+
+def layout_of(schema: T.StructType) -> dict:
+    """The mapping that the schema's fingerprint selects; columns that no layout names are extra."""
+    used = T.StructType([f for f in schema.fields if f.name in KNOWN_COLUMNS])
+    found = MAPPINGS.get(fingerprint(schema_paths(used))) if used.fields else None
+    if found is None:
+        raise ValueError(f"no layout for {', '.join(sorted(schema_paths(used)) if used.fields else [])} ({fingerprint(schema_paths(used)) if used.fields else 'no known column'})")
+    return found
+
+
+def canonical_rows(table: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of a table of any known layout, by its schema's mapping; turn counts from 0 in a record."""
+    # rows of turns name their conversation in the layout itself; any other record's id stands beside its layout
+    turns = {"role", "turn"} <= set(table.columns)
+    layout = layout_of(T.StructType([f for f in table.schema.fields if turns or f.name != conv_id]))
+    key = F.col(conv_id).cast("long").alias("conv_id")
+    if "one" in layout:
+        role, text = layout["one"]
+        rows = table.select(key, F.col("turn").cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    elif "each" in layout:
+        items, role, text = layout["each"]
+        rows = table.select(key, F.posexplode(items).alias("turn", "_item")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col(f"_item.{role}").cast("string").alias("role"), F.col(f"_item.{text}").cast("string").alias("text"))
+    else:
+        named = [F.struct(F.lit(r[1:]) if r[0] == "=" else F.col(r).cast("string"), F.col(t).cast("string"), F.lit(t == "input")) for r, t in layout["turns"]]
+        kept = F.filter(F.array(*[x.cast("struct<role:string,text:string,optional:boolean>") for x in named]), lambda x: ~x["optional"] | (F.coalesce(x["text"], F.lit("")) != ""))
+        rows = table.select(key, F.posexplode(kept).alias("turn", "_item")).select("conv_id", F.col("turn").cast("long").alias("turn"), "_item.role", "_item.text")
+    named_role = F.col("role")
+    for said, meant in ROLES.items():
+        named_role = F.when(F.col("role") == said, meant).otherwise(named_role)
+    return rows.withColumn("role", F.coalesce(named_role, F.lit("unknown")))
+
+
 def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: "\\" + m[0], text)
 
@@ -143,26 +187,21 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     return records.select(column).mapInArrow(run, f"`{column}` string, layout string, formatted string, loss_spans array<array<bigint>>")
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """Turn rows (conv_id, turn, role, text): adds formatted, loss_start and loss_end, one piece a row.
+def format_table(table: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """A table of any known layout as canonical turns (conv_id, turn, role, text) with formatted, loss_start and loss_end.
 
     A conversation's formatted text is its pieces by turn; pieces are made row by row, so no group is gathered.
     """
+    rows = canonical_rows(table, conv_id)
     tune(rows.sparkSession)
-    mapping = MAPPINGS[fingerprint(["conv_id", "role", "text", "turn"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for r in b.to_pylist():
-                # rows of a table share their columns' layout: its mapping was looked up by fingerprint once
-                role, text = (r[x] for x in mapping["one"])
-                got.append(format_turn(ROLES.get(role, role) if role is not None else "unknown", text or ""))
+            got = [format_turn(r["role"], r["text"] or "") for r in b.to_pylist()]
             arrays = [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "formatted", "loss_start", "loss_end"])
 
-    read = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return read.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
 
 
 class _Digest:
@@ -189,6 +228,7 @@ def read_digests(pieces: DataFrame) -> DataFrame:
     """One row a conversation, from the formatted pieces in order."""
     fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for b in batches:

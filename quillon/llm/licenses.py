@@ -12,6 +12,9 @@ very long texts are searched whole.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 #: Exact phrases and their labels (fixed values).
@@ -73,6 +76,34 @@ def _search():
     return automaton, patterns
 
 
+#: A stretch of seeds is searched in blocks of so many lengths of the notice.
+BLOCK = 6
+
+
+def _best_first(text: str, a: int, b: int, pattern, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the places in a short stretch: the best, then those before and after it."""
+    found, spans = [], [(a, b)]
+    while spans:
+        a, b = spans.pop()
+        m = pattern.search(text, a, b) if b - a >= least else None
+        if m:
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            spans += [(a, m.start()), (m.end(), b)]
+    return sorted(found)
+
+
+def _places(text: str, a: int, b: int, pattern, notice: str, k: int) -> Iterator[tuple[int, int, int]]:
+    """The places in a stretch of any length, in time that grows with it: it is searched block by block. A place near a
+    block's end, which what follows could better, is left to the next block."""
+    least, most = len(notice) - k, len(notice) + k
+    while b - a >= least:
+        end = min(b, a + BLOCK * most)
+        found = _best_first(text, a, end, pattern, least)
+        sure = found if end == b else [f for f in found if f[1] <= end - most]
+        yield from sure
+        a = b if end == b else max(end - 2 * most, sure[-1][1] if sure else a + most)
+
+
 def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) in the normalised text, one for each separate place of a notice."""
     automaton, patterns = _search()
@@ -85,20 +116,13 @@ def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
     found = []
     for i, windows in tried.items():
         pattern, notice, label, k = patterns[i]
-        least = len(notice) - k
         spans: list[list[int]] = []
         for a, b in sorted(windows):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        # the best place of a window is found first: what lies before it is searched as well as what follows
-        while spans:
-            a, b = spans.pop()
-            m = pattern.search(text, a, b) if b - a >= least else None
-            if m:
-                found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                spans += [[a, m.start()], [m.end(), b]]
+        found += [(label, *f) for a, b in spans for f in _places(text, a, b, pattern, notice, k)]
     # of overlapping places, the one with the fewest edits, then the longest, tells the notice
     kept: list[tuple[str, int, int, int]] = []
     for f in sorted(found, key=lambda f: (f[1], f[0])):
@@ -110,24 +134,39 @@ def fuzzy(text: str) -> list[tuple[str, int, int, int]]:
     return kept
 
 
-def base_places(text: str) -> list[tuple[str, int]]:
+class Numbering:
+    """Numbers of the words of a normalised text by their places; the spaces are listed once, if anything asks."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spaces: list[int] | None = None
+
+    def before(self, at: int) -> int:
+        """Spaces before a place."""
+        if self.spaces is None:
+            self.spaces = [m.start() for m in re.finditer(" ", self.text)]
+        return bisect_left(self.spaces, at)
+
+
+def base_places(text: str, number: Numbering) -> list[tuple[str, int]]:
     """(label, word index) of every place where a phrase's words stand consecutively."""
     out = []
     for phrase, label in PHRASES.items():
         needle, at = f" {phrase} ", -1
         while (at := text.find(needle, at + 1)) >= 0:
-            out.append((label, text.count(" ", 0, at)))
+            out.append((label, number.before(at)))
     return out
 
 
 def scan(data: bytes) -> tuple[int, int, int | None, int | None, str, str, float, str]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label:word:word:edits)."""
     text, n = normalise(data)
-    base = base_places(text)
+    number = Numbering(text)
+    base = base_places(text, number)
     more = fuzzy(text)
     at = [w for _, w in base]
     labels = {x for x, _ in base}
     best = max([1.0] * bool(base) + [1 - e / max(1, b - a) for _, a, b, e in more], default=0.0)
     # words that a span touches, in the text's own numbering
-    spans = ",".join(f"{x}:{max(0, text.count(' ', 0, a + 1) - 1)}:{text.count(' ', 0, max(a + 1, b - 1))}:{e}" for x, a, b, e in more)
+    spans = ",".join(f"{x}:{max(0, number.before(a + 1) - 1)}:{number.before(max(a + 1, b - 1))}:{e}" for x, a, b, e in more)
     return n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in more})), best, spans

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
     fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return docs.mapInArrow(common.per_text(secrets.digest, fields, ["doc_id"]), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(common.per_text(partial(secrets.digest, learned=secrets.learn(docs)), fields, ["doc_id"]), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 #: The conversation that op4 adds to the table: its text holds the template's own control strings.
@@ -34,9 +35,9 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    return chat.read_digests(chat.format_rows(rows.unionByName(added)))
+    return chat.read_digests(chat.format_table(rows.unionByName(added, allowMissingColumns=True)))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

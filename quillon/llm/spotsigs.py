@@ -2,8 +2,9 @@
 
 Every common word (anchor) starts a chain of the CHAIN content words after it; anchor and chain are
 a signature. A document's fingerprint stands for its set of signatures. Documents are compared by
-the Jaccard likeness of these sets; similar_pairs deals sets by length, so that only lengths that
-allow the threshold meet, and joins on the prefix of each set that a similar one must share.
+the Jaccard likeness of these sets. similar_pairs finds all pairs above a threshold: equal sets are one
+class, sets are dealt by length, so that only lengths that allow the threshold meet, and joined on
+their rarest members, of which similar sets must share one.
 
 Words are runs of ASCII letters, digits and characters above ASCII, A-Z lowered. A text with too
 few words for any signature has one signature, all its words; a text without words has none.
@@ -31,9 +32,11 @@ ANCHORS = (
 ).split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of one bucket of neighbouring ids, about.
-BUCKET_ROWS = 2000
+#: Rows of one bucket of neighbouring ids, about, while there are few; buckets of a cell between two cuts, at most.
+BUCKET_ROWS = 128
 CELLS = 1000
+#: Buckets that one task takes, about: they are dealt by hash, and many of them make tasks even.
+TASK_BUCKETS = 40
 
 
 def _words(text: Column) -> Column:
@@ -75,32 +78,51 @@ def sketch(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard of two sets of distinct hashes; lengths that cannot meet are not intersected."""
+    """Jaccard of two sets of distinct hashes; 1 for two empty ones, and an empty and another set are not intersected."""
     both = F.size(F.array_intersect(a, b))
     n = F.size(a) + F.size(b)
     return F.when(n == 0, 1.0).when(F.least(F.size(a), F.size(b)) == 0, 0.0).otherwise(both / (n - both))
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """(h, id): every different non-empty set, sorted, and the smallest id that has it. sets: (id, h)."""
+    return sets.filter(F.size("h") > 0).select("id", F.array_sort(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.min("id").alias("id"))
+
+
+def memberships(sets: DataFrame) -> DataFrame:
+    """(id, class_id): each non-empty set's class."""
+    own = sets.filter(F.size("h") > 0).select("id", F.array_sort(F.array_distinct("h")).alias("h"))
+    return own.join(classes(sets).withColumnRenamed("id", "class_id"), "h").select("id", "class_id")
+
+
 def similar_pairs(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(a, b, likeness) of pairs at or above the threshold. sets: (id, h).
+    """(a, b, likeness) of the pairs of classes at or above the threshold. sets: (id, h).
 
-    Length class k holds sizes in [r^k, r^(k+1)), r = 1 / threshold; a set meets its own class and
-    the next one. In hash order, similar sets share one of their first n - ceil(t n) + 1 members.
+    Length class k holds sizes in [r^k, r^(k+1)), r = 1 / threshold; a set meets its own length class and
+    the next one. Members are ordered by how few sets hold them: similar sets share one of their first
+    n - ceil(t n) + 1, so a passage that many texts share is not what they meet by unless they hold little else.
     """
-    n = F.size("h")
-    base = sets.filter(n > 0).select("id", F.array_sort("h").alias("h"), n.alias("n"))
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
-    keyed = base.select("id", "n", part.alias("part"), F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")).alias("prefix"))
-    shorter = keyed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "prefix").withColumn("sig", F.explode("prefix")).drop("prefix")
-    longer = keyed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "part", F.explode("prefix").alias("sig"))
+    base = classes(sets).withColumn("n", F.size("h"))
+    single = base.select("id", F.explode("h").alias("sig"))
+    held = single.groupBy("sig").agg(F.count("*").alias("c"))
+    rare = single.join(held, "sig").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "sig"))), lambda x: x["sig"]).alias("o"))
+    part = F.floor(F.log(F.size("o").cast("double")) / math.log(1 / threshold) + 1e-9)
+    first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.lit(threshold) * F.size("o") - 1e-9) + 1).cast("int"))
+    keyed = rare.select("id", F.size("o").alias("n"), part.alias("part"), F.explode(first).alias("sig"))
+    shorter = keyed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
+    longer = keyed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "part", "sig")
     fits = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     pairs = shorter.join(longer, ["part", "sig"]).filter(fits & (F.col("n_a") >= threshold * F.col("n_b"))).select("a", "b").distinct()
     full = pairs.join(base.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(base.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     return full.select("a", "b", likeness("ha", "hb").alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) dealt by neighbouring ids, with the next row's text; see fingerprint_edits."""
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text) dealt by neighbouring ids, each bucket with the first row of the next; see fingerprint_edits.
+
+    There are at most 201 * CELLS buckets, whose heads the driver orders. Beyond some 25 million rows buckets grow with
+    the table; a bucket is sorted and read through, never held. Rows of one id lie in one bucket.
+    """
     stat = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / 200 for i in range(201)], 2000).alias("cut")).first()
     cuts = sorted(set(stat.cut or [0]))
     # a cell of ids between two cuts, then CELLS equal steps inside it; null ids come first
@@ -115,21 +137,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.groupBy("_bucket").agg(F.min("doc_id").alias("_head"), F.count("*").alias("_n"))
     known = [r._bucket for r in heads.select("_bucket").orderBy("_bucket").collect()]
     if not known:
-        return rows.drop("_bucket").withColumn("next_text", F.col("text"))
+        return rows.drop("_bucket").withColumn("next_text", F.col("text")), 0
     before = docs.sparkSession.createDataFrame([(b, known[i - 1]) for i, b in enumerate(known)], "_bucket long, _to long")
-    # one row a bucket: at most 201 * CELLS rows of three numbers
+    # one row a bucket: at most 201 * CELLS + 1 rows of three numbers
     first = F.broadcast(heads.join(before, "_bucket").select("_bucket", "_head", "_to"))
     ghosts = rows.join(first, "_bucket").filter(F.col("doc_id").eqNullSafe(F.col("_head"))).groupBy("_to").agg(F.min("text").alias("text"))
     ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_to").alias("_bucket"), F.lit(1).alias("_ghost"))
-    return rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
+    return rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts), len(known)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The digest of every document, its edited text and the next document."""
-    dealt = with_next(docs.select("doc_id", "text"))
-    if "_bucket" not in dealt.columns:
+    dealt, buckets = with_next(docs.select("doc_id", "text"))
+    if not buckets:
         return _digest(sketch(sketch(dealt, "text", "own"), "next_text", "next"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // TASK_BUCKETS)
     own = sketch(dealt.repartition(parts, "_bucket"), "text", "own")
     w = Window.partitionBy("_bucket").orderBy("_ghost", "doc_id", "text")
     led = own.withColumns({"next_text": F.lead("text").over(w), "next_h": F.lead("own_h").over(w)}).filter("_ghost = 0")
