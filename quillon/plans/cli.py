@@ -8,6 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from .. import schema as S
+from .. import storage
 from ..functions.text import load_segmenter
 from ..operators import index as X
 from ..operators import profile as C
@@ -56,6 +57,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
+    try:
+        run(spark, args)
+    finally:
+        storage.clear(spark)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     cut = load_segmenter() if args.segment else None
     if args.command == "build":
         print(json.dumps(pipelines.build_index(spark, args.raw, args.processed, args.index, args.report, cut), ensure_ascii=False))
