@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as _digest
 
 from .common import column, held_out, materialize, task, tune
 from .words import NOT_WORD, Words, mix
@@ -58,18 +59,21 @@ CACHE_WORDS = 250_000
 STREAM = 1 << 18
 
 
-def features(word: bytes) -> list[int]:
-    """Rows of a word's own features: itself, prefixes, suffix, shape."""
-    shape = f"{min(len(word), 12)}:{any(48 <= b <= 57 for b in word)}:{any(b > 127 for b in word)}:{any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))}"
-    text = word.decode("utf-8", "replace")
-    names = [b"w" + word, *(f"^{text[:k]}{'|' * (len(text) < k)}".encode() for k in PREFIXES), f"${text[-SUFFIX:]}".encode(), b"s" + shape.encode()]
-    return [int.from_bytes(_digest(x), "little") % OWN for x in names]
-
-
-def _digest(name: bytes) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_64_digest(name)
+def features(word: bytes) -> tuple[int, ...]:
+    """Rows of a word's own features: itself, prefixes, suffix, shape. Each kind has a seed of its own."""
+    n = len(word)
+    if word.isascii():
+        cuts = [word[:k] for k in PREFIXES]
+        tail = word[-SUFFIX:]
+    else:
+        text = word.decode("utf-8", "replace")
+        n = len(text)
+        cuts = [text[:k].encode() for k in PREFIXES]
+        tail = text[-SUFFIX:].encode()
+    shape = b"%d%d%d" % (min(n, 12), word.isalpha(), word.isascii())
+    # a word shorter than a prefix has one of its own, apart from longer words that begin with it
+    heads = [_digest(c, 2 + i if n >= k else 12 + i) % OWN for i, (c, k) in enumerate(zip(cuts, PREFIXES))]
+    return _digest(word, 1) % OWN, *heads, _digest(tail, 10) % OWN, _digest(shape, 11) % OWN
 
 
 class Field:
@@ -141,26 +145,20 @@ class Field:
 
 
 class Lexicon:
-    """The rows of words met by a task, found once for each."""
+    """The words met by a task, each with an index of its own; their rows are found once."""
 
     def __init__(self):
         self.index: dict[int, int] = {}
-        self.own: list[list[int]] = []
-        self.near: list[int] = []
 
-    def codes(self, w: Words) -> np.ndarray:
-        """Index of every word of a batch."""
+    def codes(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of every word of a batch; own rows and neighbour rows of the words that are new."""
         kinds, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        near = (mix(kinds) % np.uint64(NEAR - 1)).tolist()
-        out = np.empty(len(kinds), np.int64)
-        for k, (h, i) in enumerate(zip(kinds.tolist(), where.tolist())):
-            got = self.index.get(h)
-            if got is None:
-                got = self.index[h] = len(self.own)
-                self.own.append(features(w.word(i)))
-                self.near.append(near[k])
-            out[k] = got
-        return out[inverse]
+        known = len(self.index)
+        index = self.index
+        out = np.array([index.setdefault(h, len(index)) for h in kinds.tolist()], np.int64)
+        new = np.flatnonzero(out >= known)  # in order of their indices
+        own = np.array([features(w.word(i)) for i in where[new].tolist()], np.int64).reshape(-1, PER_WORD)
+        return out[inverse], own, (mix(kinds[new]) % np.uint64(NEAR - 1)).astype(np.int64)
 
 
 #: The neighbour row of a text's edge.
@@ -204,10 +202,9 @@ class Tagger:
     def codes(self, w: Words) -> np.ndarray:
         if len(self.emission) > CACHE_WORDS:
             self.forget()
-        codes, known = self.lexicon.codes(w), len(self.emission)
-        new = np.array(self.lexicon.own[known:], np.int64).reshape(-1, PER_WORD)
-        self.emission = np.concatenate([self.emission, self.field.own[new].sum(1)])
-        self.near = np.concatenate([self.near, np.array(self.lexicon.near[known:], np.int64)])
+        codes, own, near = self.lexicon.codes(w)
+        self.emission = np.concatenate([self.emission, self.field.own[own].sum(1)])
+        self.near = np.concatenate([self.near, near])
         return codes
 
     def tag(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -276,9 +273,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams of the sample's texts: each chain's label and start, each word's kind, each kind's rows and documents, all and toxic."""
     for b in batches:
         w, label = Words(column(b, "text"), NOT_WORD), np.array(column(b, "toxic").to_pylist(), np.int32)
-        lexicon = Lexicon()
-        codes = lexicon.codes(w)
-        own, near = np.array(lexicon.own, np.int32).reshape(-1, PER_WORD), np.array(lexicon.near, np.int32)
+        codes, own, near = Lexicon().codes(w)
         for i, j in _slices(w.at):
             docs, starts = _chains(w.at, i, j)
             if not len(docs):
