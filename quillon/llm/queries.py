@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, common, licenses, maxent, minhash, mixing, packing, quality, secrets, spotsigs, toxicity
+from .oracles import ORACLES
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +74,36 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+# ---- parts of the operators' rows that SQL can express ---------------------------------------
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns' part of op3's rows."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unigram base of op6's rows."""
+    return op6_maxent_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact phrases' part of op9's rows."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op10's rows, and whether what a row gives is allowed."""
+    got = op10_mix_sources(spark, sf_dir)
+    allowed = (F.col("taken") >= 0) & (F.col("taken") <= 3 * F.col("size")) & (F.col("taken") == F.col("copies") * F.col("size"))
+    return got.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), allowed.alias("allowed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    """The operators' own queries first, then the parts."""
+    whole = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return whole | {f.__name__: f for f in (secret_base, lm_base, license_base, mix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_spotsigs_fingerprint": spotsigs.oracle()}
+    return dict(ORACLES)
