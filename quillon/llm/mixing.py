@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small
@@ -31,8 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOLERANCE = 1e-7
 #: Newton steps until an error; a bracketed step halves its range at worst, so some sixty reach a double's precision.
 STEPS = 200
-#: Buckets of one histogram, and the histograms: their last buckets are narrower than 1e-13.
-BUCKETS, HISTOGRAMS = 4096, 4
+#: Buckets of one histogram, and the histograms: their last buckets are narrower than 1e-10.
+BUCKETS, HISTOGRAMS = 4096, 3
 #: Single documents, at most, by which a source's gap is narrowed; it ends when none of them would narrow it.
 CHANGES = 32
 
@@ -76,15 +76,22 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...], cap: float = MA
     return rows.withColumn("target", F.when(over, F.lit(float(cap)) * F.col("size")).otherwise(F.lit(level) * F.col("weight")))
 
 
+def _kept(df: DataFrame, counted: Column, name: str) -> tuple[DataFrame, int]:
+    """df, written, and the number of its rows for which something holds, counted while writing."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(counted).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def solve_duals(counts: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, target, size, mean, lam), a row a source. counts: (source, size, n). A source at its cap has a null lam: rate MAX_COPIES."""
     mean = F.greatest(F.lit(1.0), F.col("size") / F.col("n"))
     full = F.col("target") >= MAX_COPIES * F.col("size") * (1 - 1e-12)
     start = F.when(full & (F.col("size") > 0), None).when(F.col("size") > 0, F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("size"))).otherwise(0.0)
-    state = materialize(sources.select("source", "size", "target", mean.alias("mean"), start.alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), (start.isNull() | (F.col("size") == 0)).alias("done")), "mix-duals")
+    state, open_ = _kept(sources.select("source", "size", "target", mean.alias("mean"), start.alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), (start.isNull() | (F.col("size") == 0)).alias("done")), ~F.col("done"), "mix-duals")
     n = state.count()
     for _ in range(STEPS):
-        if not state.filter("not done").limit(1).count():
+        if not open_:
             return state.select("source", "target", "size", "mean", "lam")
         todo = state.filter("not done").select(F.col("source").alias("_s"), "lam", "mean")
         x = F.col("size") / F.col("mean")
@@ -98,9 +105,9 @@ def solve_duals(counts: DataFrame, sources: DataFrame) -> DataFrame:
         inside = F.coalesce(newton > F.col("_low"), newton.isNotNull()) & F.coalesce(newton < F.col("_high"), newton.isNotNull())
         away = F.col("lam") + F.when(gap < 0, 1).otherwise(-1) * (1 + F.abs("lam"))
         step = F.when(inside, newton).otherwise(F.coalesce((F.col("_low") + F.col("_high")) / 2, away))
-        state = materialize(joined.select(
+        state, open_ = _kept(joined.select(
             "source", "size", "target", "mean", F.when(F.col("_solved"), F.col("lam")).otherwise(step).alias("lam"), F.col("_low").alias("low"), F.col("_high").alias("high"), (F.col("_solved") | (step == F.col("lam"))).alias("done")
-        ), "mix-duals")
+        ), ~F.col("done"), "mix-duals")
     raise RuntimeError("the duals did not settle")
 
 
@@ -151,17 +158,26 @@ def _copies() -> Column:
 def narrow_gaps(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """cuts with ups and downs: hashes of the documents that get one copy more or less, each the best for its source's gap."""
     none = F.array().cast("array<long>")
-    state, n = cuts.withColumns({"ups": none, "downs": none}), cuts.count()
+    plan, n = cuts.withColumns({"ups": none, "downs": none}), cuts.count()
+
+    def now(state: DataFrame, more: list[str]) -> DataFrame:
+        wanted = state.select("sid", "lam", "mean", "target", "cut", "ups", "downs", *more)
+        return rows.drop("rate", "stand").join(small(wanted, n), "sid").withColumn("rate", _rate()).withColumn("copies", _copies())
+
+    gaps = now(plan, []).groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    state = materialize(plan.join(small(gaps, n), "sid"), "mix-gaps")
     for _ in range(CHANGES):
-        now = rows.drop("rate", "stand").join(small(state.select("sid", "lam", "mean", "target", "cut", "ups", "downs"), n), "sid").withColumn("rate", _rate()).withColumn("copies", _copies())
-        gap = materialize(now.groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")), "mix-gaps")
-        near = now.join(small(gap, n), "sid").filter((F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < MAX_COPIES).otherwise(F.col("copies") > 0))
-        best = near.groupBy("sid").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("left"), F.col("_hash").alias("h"), (F.col("gap") > 0).alias("up"))).alias("b"))
-        found = materialize(best.select("sid", "b.h", "b.up"), "mix-changes")
-        if not found.limit(1).count():
+        near = now(state, ["gap"]).filter((F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < MAX_COPIES).otherwise(F.col("copies") > 0))
+        best = near.groupBy("sid").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("left"), F.col("_hash").alias("h"), F.col("size").alias("words"))).alias("b"))
+        joined = state.join(small(best, n), "sid", "left").withColumn("up", F.col("gap") > 0)
+        changed = F.col("b").isNotNull()
+        state, found = _kept(joined.select(
+            *[c for c in state.columns if c not in ("ups", "downs", "gap")], F.when(changed & F.col("up"), F.concat("ups", F.array("b.h"))).otherwise(F.col("ups")).alias("ups"), F.when(changed & ~F.col("up"), F.concat("downs", F.array("b.h"))).otherwise(F.col("downs")).alias("downs"),
+            F.when(changed, F.col("gap") - F.when(F.col("up"), F.col("b.words")).otherwise(-F.col("b.words"))).otherwise(F.col("gap")).alias("gap"), changed.alias("changed"),
+        ), F.col("changed"), "mix-changes")
+        state = state.drop("changed")
+        if not found:
             break
-        joined = state.join(small(found, n), "sid", "left")
-        state = materialize(joined.withColumns({"ups": F.when(F.col("up"), F.concat("ups", F.array("h"))).otherwise(F.col("ups")), "downs": F.when(~F.col("up"), F.concat("downs", F.array("h"))).otherwise(F.col("downs"))}).drop("h", "up"), "mix-state")
     return state
 
 
