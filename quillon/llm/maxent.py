@@ -42,7 +42,7 @@ SIZE = HEAD // CLASSES
 #: Counts that are broadcast, at most; 16 bytes each.
 FREQUENT = 150_000
 #: The most frequent words, whose places beside a word make its profile: at most 2 * NEIGHBOURS counts a stored word.
-NEIGHBOURS = 32
+NEIGHBOURS = 24
 #: Hashed feature rows: contexts of one word, and of the pair.
 WORD_ROWS, PAIR_ROWS = 4096, 16_384
 ROWS = 2 * WORD_ROWS + PAIR_ROWS
@@ -52,8 +52,8 @@ RATE = 0.6
 ROUNDS = 2
 #: Float sums are dealt out in so many pieces a model (98 KB each).
 PIECES = 64
-#: Tokens of one shard of a round, about.
-SHARD_TOKENS = 1_000_000
+#: Tokens of one shard of a round: at least, and at most once there are FEW_SHARDS.
+SHARD_TOKENS, MOST_TOKENS, FEW_SHARDS = 250_000, 4_000_000, 8
 #: The end token; a word has this hash by a chance of 2^-63.
 END = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -186,12 +186,16 @@ def _split(profiles: np.ndarray, weight: np.ndarray, at: np.ndarray, parts: int,
     """Word indices in parts of like weight (of equal number, if whole), each split across the principal direction."""
     if parts == 1 or len(at) <= 1:
         return [at] + [at[:0]] * (parts - 1)
-    x, w = profiles[at], weight[at].astype(float)
-    x = x - (w @ x) / w.sum()
-    cov = (x * w[:, None]).T @ x
-    axis = np.linalg.eigh(cov)[1][:, -1]
+    w = weight[at].astype(float)
+    dims = profiles.shape[1]
+    mean, second = np.zeros(dims), np.zeros((dims, dims))
+    for k in range(0, len(at), 10_000):
+        x = profiles[at[k : k + 10_000]].astype(float)
+        mean += w[k : k + 10_000] @ x
+        second += (x * w[k : k + 10_000, None]).T @ x
+    axis = np.linalg.eigh(second - np.outer(mean, mean) / w.sum())[1][:, -1]
     axis = axis * (np.sign(axis[np.abs(axis).argmax()]) or 1.0)  # a fixed sign, so that reruns agree
-    order = at[np.argsort(x @ axis, kind="stable")]
+    order = at[np.argsort((profiles @ axis.astype(np.float32))[at], kind="stable")]
     half = parts // 2
     if whole:
         cut = half * (len(at) // parts)
@@ -205,10 +209,10 @@ class Model:
 
     def __init__(self, v: Vocabulary, profile: np.ndarray | None = None):
         n, k = len(v.token), min(HEAD, len(v.token))
-        x = np.zeros((n, 2 * NEIGHBOURS)) if profile is None else np.sqrt(profile / np.maximum(1, v.count)[:, None])
+        x = np.zeros((n, 2 * NEIGHBOURS), np.float32) if profile is None else np.sqrt(profile / np.maximum(1, v.count)[:, None]).astype(np.float32)
         self.cls, self.place = np.full(n + 1, CLASSES, np.int8), np.full(n + 1, SIZE - 1, np.int8)  # the last entry: any word not stored
         # head words that there are not hold places of their own
-        padded = np.concatenate([x[:k], np.zeros((HEAD - k, 2 * NEIGHBOURS))])
+        padded = np.concatenate([x[:k], np.zeros((HEAD - k, 2 * NEIGHBOURS), np.float32)])
         groups = _split(padded, np.ones(HEAD), np.arange(HEAD), CLASSES, True)
         mass = np.zeros((CLASSES + 1, SIZE))
         for c, words in enumerate(groups):
@@ -326,7 +330,7 @@ def train(encoded: DataFrame, model: Model, total: int) -> Model:
     """The rounds: sums by piece go in two levels, each of some square root of the shards."""
     schema = "piece int, n long, w binary"
     for k in range(ROUNDS):
-        shards = max(1, total // ROUNDS // SHARD_TOKENS)
+        shards = max(1, min(total // ROUNDS // SHARD_TOKENS, FEW_SHARDS + total // ROUNDS // MOST_TOKENS))
         rows = encoded.filter(F.col("learn") & (F.col("part") == k)).select("codes").coalesce(shards)
         parts = materialize(rows.mapInArrow(_train(model), f"shard int, {schema}"), "lm-models")
         shares = math.isqrt(shards) + 1
@@ -347,8 +351,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def profiles(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
     """Neighbours of each stored word over all training texts: at most FREQUENT * 2 * NEIGHBOURS counts."""
     out = np.zeros(len(v.token) * 2 * NEIGHBOURS, np.float32)
-    got = encoded.filter("learn").select("codes").mapInArrow(_profile(len(v.token)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
-    out[got.column("key").to_numpy()] = got.column("c").to_numpy()
+    got = encoded.filter("learn").select("codes").mapInArrow(_profile(len(v.token)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    for b in got.select(F.col("key").cast("int"), F.col("c").cast("float")).toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return out.reshape(-1, 2 * NEIGHBOURS)
 
 
