@@ -771,6 +771,10 @@ def test_pipeline(spark, data, empty):
     secret = spark.createDataFrame([(1, 'é token = "deadbeefdeadbeefdead" x', "en", "a", 33), (2, "clean", "en", "a", 5), (3, None, "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     red = {r.doc_id: r for r in P.redact_secrets(spark, secret, data).collect()}
     assert "dead" not in red[1].text and red[1].n_chars == len(red[1].text) and red[2].text == "clean" and red[3].text is None
+    long = "é plain words " * 50_000 + "bearer wJalrXUtnFEMI/K7MDENG+bPxRfiCYzE3mPLq9 end"
+    rows_ = [(1, long, "en", "a", 1, "x"), (1, long, "en", "a", 1, "x"), (None, "", None, None, 0, "y")]
+    made = sorted(P.redact_secrets(spark, spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, spans string"), data).collect(), key=lambda r: r.doc_id or 0)
+    assert made[1] == made[2] and made[1].text == "é plain words " * 50_000 + "bearer [REDACTED] end" and made[1].n_chars == len(made[1].text) and made[0].text == "" and len(made[0]) == 5
     mixed = P.mix_sources(spark, near, data)
     copies = Counter(r.doc_id for r in mixed.collect())
     assert max(copies.values(), default=0) <= 3
