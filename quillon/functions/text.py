@@ -39,6 +39,13 @@ def accent_table() -> tuple[str, str]:
     return "".join(source + gone), "".join(target)
 
 
+@lru_cache(1)
+def accent_map() -> dict[int, str | None]:
+    """The same table for str.translate, where Python holds the text already."""
+    source, target = accent_table()
+    return {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
+
+
 @lru_cache(1)
 def _suspect() -> str:
     """Matches every text that composition (NFC) may change."""

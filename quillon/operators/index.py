@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import accent_table
+from ..functions.text import accent_map
 from ..storage import scratch, small
 
 #: Documents of one Arrow batch.
@@ -63,10 +63,8 @@ _NAMES = [c.split()[0] for c in POSTINGS.replace("array<int>", "list").split(",
 
 def _fold_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Codes of the accent-less form of each word, and the forms."""
-    source, target = accent_table()
-    table = {ord(a): (target[i] if i < len(target) else None) for i, a in enumerate(source)}
-    seen: dict[str, int] = {}
-    codes = [seen.setdefault(w.translate(table), len(seen)) for w in words.to_pylist()]
+    table, seen = accent_map(), {}
+    codes = [seen.setdefault(w if w.isascii() else w.translate(table), len(seen)) for w in words.to_pylist()]
     return np.asarray(codes, np.int64), pa.array(list(seen), pa.string())
 
 
