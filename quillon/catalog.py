@@ -30,7 +30,7 @@ from .operators import rank as R
 from .operators import serve
 from .plans import pipelines
 from .sources import files
-from .storage import scratch, shared_dir
+from .storage import scratch, shared_dir, spread
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -55,7 +55,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    found = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,12 @@ def clear(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it has fewer partitions than there are cores: a small file of one row group would keep one busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Tables of at most so many short rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
