@@ -295,16 +295,16 @@ def near_duplicates(docs: DataFrame, cut: float | None = FINE_CUT) -> DataFrame:
     same = live.groupBy("whole").agg(F.min("doc_id").alias("node"))
     nodes = materialize(live.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "near-nodes")
     bands = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    stars = bands.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", "c.*")
-    centre = stars.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-    cand = centre.join(bands.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "key").filter("a != b")
+    # rows alone in their bucket go at once: all bands are joined and sorted here only, the rest reads what is held
+    often = bands.groupBy("key").count().filter("count > 1").select("key")
+    held = materialize(bands.join(often, "key", "left_semi").select("key", "node", "n_shingles"), "near-held")
+    centre = held.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.n_shingles").alias("n_a"))
+    cand = centre.join(held.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "key").filter("a != b")
     pairs = materialize(cand.filter(_FITS).select("a", "b").distinct(), "near-pairs")
     texts_of = read.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     links = confirm(texts_of, pairs)
     label = components(links)
-    shared = cand.select("key").distinct()
-    members = nodes.select("node", "n_shingles", F.explode("keys").alias("key")).join(shared, "key", "left_semi")
-    members = _relabel(members, label)
+    members = materialize(_relabel(held, label), "near-members")
     extra = hidden_links(texts_of, members, cut)
     if extra is not None and extra.limit(1).count():
         label = components(links.unionByName(extra))

@@ -552,6 +552,17 @@ def test_minhash(spark, data):
     assert all(r["component_id"] == want.get(r["doc_id"]) for r in got) and all(r["kept"] == (r["doc_id"] in (None, want.get(r["doc_id"]))) for r in got)
 
 
+def test_minhash_joins_all_bands_once(spark, monkeypatch):
+    plans, write = {}, minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().analyzed().toString()), write(df, name))[1])
+    r = random.Random(5)
+    base = [" ".join(r.choice("abcdefghij") * 2 + str(r.randrange(99)) for _ in range(60)) for _ in range(6)]
+    docs = [(i, t) for i, t in enumerate(base + [t + " end" for t in base[:3]])]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2}
+    assert [k for k, plan in plans.items() if "explode(keys" in plan] == ["near-held"]
+
+
 def test_minhash_hidden_links_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LEAST_BLOCK", 200)
     r = random.Random(7)
