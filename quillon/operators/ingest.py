@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +16,9 @@ from ..functions import scalars as H
 from ..functions import text as X
 from ..storage import scratch, small
 
+#: Documents of one Arrow batch.
+BATCH_DOCS = 512
+
 #: Ingredient lines that are page furniture, and openings of promotional descriptions, accent-folded (fixed values).
 ARTIFACTS = ("gram", "muong")
 PROMOTIONS = ("goi y com nha", "goi y bua an", "goi y thuc don")
@@ -104,6 +112,27 @@ def tokenized(docs: DataFrame, compose: bool = True, segmenter=None, texts: bool
     return norm.select("doc_id", *[c.alias(f) for f, c in cut.items()], *([f"{f}_norm" for f in S.FIELDS] if texts else []))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    normal = unicodedata.normalize
+    for b in batches:
+        made = []
+        for f in S.FIELDS:
+            low = pa.array([normal("NFC", x or "").lower() for x in b.column(b.schema.get_field_index(f)).to_pylist()], pa.string())
+            made.append(pc.ascii_trim(pc.replace_substring_regex(low, r"[^\p{L}\p{N}]+", " "), " "))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), *made], names=["doc_id", *S.FIELDS])
+
+
+def streams(docs: DataFrame, segmenter=None) -> DataFrame:
+    """As tokenized, with each field's tokens as one text that blanks part: the form in which an index keeps them. The whole
+    text is composed, lower-cased and cut where Python holds it; white space needs no care, since no token holds any."""
+    kinds = dict(docs.dtypes)
+    if segmenter:
+        return tokenized(docs, segmenter=segmenter).select("doc_id", *[F.array_join(f, " ").alias(f) for f in S.FIELDS])
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    raw = docs.select("doc_id", *[X.field_text(f, kinds[f]).alias(f) for f in S.FIELDS])
+    return raw.mapInArrow(_cut, ", ".join(f"{c} string" for c in ("doc_id", *S.FIELDS)))
+
+
 def processed(docs: DataFrame, compose: bool = True, segmenter=None) -> DataFrame:
     """(doc_id, field, field_ord, text_norm, tokens, accentless_tokens, ranking_tokens), a row a field."""
     wide = tokenized(docs, compose, segmenter, texts=True)

@@ -110,14 +110,19 @@ def query_filters(queries: DataFrame) -> DataFrame:
     )
 
 
-def row_predicate() -> Column:
-    """Whether a document passes its query's filters: a row holds query_filters and the document's FILTER_COLUMNS."""
+#: Columns of query_filters.
+FILTERS = ("f_time", "f_difficulty", "f_categories", "f_ingredients", "f_methods")
+
+
+def row_predicate(f: dict[str, Column] | None = None) -> Column:
+    """Whether a document passes its query's filters: a row holds the document's FILTER_COLUMNS and, unless f gives them, query_filters."""
+    f = f or {k: F.col(k) for k in FILTERS}
     all_in = lambda wanted, held: F.forall(wanted, lambda v: (v != "") & F.exists(held, lambda c: F.contains(c, v)))
     method = F.col("method_fold")
     return (
-        (F.col("f_time").isNull() | F.coalesce(_time() <= F.col("f_time"), F.lit(False)))
-        & (F.col("f_difficulty").isNull() | (F.col("difficulty_fold") == F.col("f_difficulty")))
-        & all_in(F.col("f_categories"), F.col("categories_fold"))
-        & all_in(F.col("f_ingredients"), F.col("ingredients_fold"))
-        & ((F.size("f_methods") == 0) | ((method != "") & F.exists("f_methods", lambda v: F.contains(v, method))))
+        (f["f_time"].isNull() | F.coalesce(_time() <= f["f_time"], F.lit(False)))
+        & (f["f_difficulty"].isNull() | (F.col("difficulty_fold") == f["f_difficulty"]))
+        & all_in(f["f_categories"], F.col("categories_fold"))
+        & all_in(f["f_ingredients"], F.col("ingredients_fold"))
+        & ((F.size(f["f_methods"]) == 0) | ((method != "") & F.exists(f["f_methods"], lambda v: F.contains(v, method))))
     )

@@ -1,13 +1,13 @@
 """TF-IDF and BM25F ranking of many queries in one plan.
 
 Statistics (n, df, average lengths, norms) always cover the whole index; filters restrict only
-which documents are scored. A posting holds all fields of a term in a document, so what it adds to
-each field's score is computed in its row, and a document's postings lie together, so sums are made
-before the one exchange by (query, document).
+which documents are scored. A few terms are looked up in the postings; a batch of queries is scored
+document by document from the forward rows (see scan), without any exchange.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add, or_
 
@@ -18,12 +18,14 @@ from .. import schema as S
 from ..functions import scalars as H
 from ..storage import scratch, small
 from . import query as Q
-from .index import Index, idf_bm25, idf_tfidf
+from . import scan
+from .index import BATCH_DOCS, Index, idf_bm25, idf_tfidf, wide
+from .scan import BITS
 
-#: Up to so many distinct terms are given to the scan, which leaves out row groups without them.
+#: Up to so many terms of queries are looked up in the postings, whose pages without them are left out.
 PUSHED_TERMS = 50
-#: Matched terms of a document are bits of long columns, so many in each.
-BITS = 62
+#: Up to so many are sent to every task, to score batches document by document.
+SCANNED_TERMS = 2_000_000
 
 
 class Asked:
@@ -39,12 +41,29 @@ class Asked:
         few = self.n <= PUSHED_TERMS
         self.pushed = [r.term for r in self.terms.select("term").distinct().collect()] if few else None
         self.stats = index.term_stats.select("channel", "term", "df").join(small(self.terms, self.n), ["channel", "term"])
+        self.scanned = not few and self.n <= SCANNED_TERMS
+
+    def plan(self, n: int, model: str, own: DataFrame | None = None) -> scan.Plan:
+        """The queries as every task gets them. own: (query_id, passes), the number of each query's filters."""
+        rows = [r.asDict() for r in self.stats.collect()]
+        idf = (lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))) if model == "bm25f" else (lambda df: math.log((n + 1) / (df + 1)) + 1)
+        norms: dict[str, float] = {}
+        for r in rows:
+            r["slot"] = r["word"] * BITS + r["bit"].bit_length() - 1
+            r["weight"] = (1 + math.log(r["qtf"])) * r["boost"] * (1 if model == "bm25f" else idf(r["df"]))
+            norms[r["query_id"]] = norms.get(r["query_id"], 0.0) + r["weight"] ** 2
+        if model == "tfidf":
+            for r in rows:
+                r["weight"] /= math.sqrt(norms[r["query_id"]])
+        every = {r.query_id: r.n for r in self.terms.groupBy("query_id").agg(F.max("n_terms").alias("n")).collect()}
+        return scan.plan(rows, every, idf, None if own is None else {r.query_id: r["passes"] for r in own.collect()})
 
     def hits(self, post: DataFrame, allowed: DataFrame | None, terms: DataFrame | None = None) -> DataFrame:
-        """Postings of the queries' terms, a row a query, term and document."""
+        """Rows of index.WIDE of the queries' terms, a row a query, term and document."""
         if self.pushed is not None:
             post = post.filter(F.col("term").isin(self.pushed))
-        found = post.join(small(terms or self.stats, self.n), ["channel", "term"])
+        post = post.join(small(self.terms.select("channel", "term").distinct(), self.n), ["channel", "term"], "left_semi")
+        found = wide(post).join(small(terms or self.stats, self.n), ["channel", "term"])
         return found if allowed is None else found.join(allowed, "doc_id", "left_semi")
 
     def marks(self) -> dict[str, Column]:
@@ -86,8 +105,7 @@ def _parts(index: Index, params: S.Bm25f) -> dict[str, Column]:
 def _evidence(asked: Asked, index: Index, pairs: DataFrame, n: int) -> DataFrame:
     """(query_id, doc_id, <field>_exact, <field>_gap) of pairs whose document has a field with all of the query's terms."""
     places = asked.terms.filter(F.size("places") > 0).select("query_id", "channel", "term", "places")
-    post = index.postings.select("channel", "term", "doc_id", *[f"{f}_pos" for f in S.FIELDS])
-    rows = asked.hits(post, None, places).join(small(pairs, n), ["query_id", "doc_id"])
+    rows = asked.hits(index.postings, None, places).join(small(pairs, n), ["query_id", "doc_id"])
     placed = F.inline(F.transform("places", lambda p: F.struct(p.alias("place"))))
     got = rows.select("query_id", "doc_id", "_n_terms", *[f"{f}_pos" for f in S.FIELDS], placed).groupBy("query_id", "doc_id", "_n_terms").agg(F.array_sort(F.collect_list(F.struct("place", *[F.col(f"{f}_pos").alias(f) for f in S.FIELDS]))).alias("_rows"))
     for f in S.FIELDS:
@@ -96,15 +114,60 @@ def _evidence(asked: Asked, index: Index, pairs: DataFrame, n: int) -> DataFrame
     return got.select("query_id", "doc_id", *[x.alias(f"{f}_{name}") for f in S.FIELDS for name, x in (("exact", phrase_count(F.col(f"_l_{f}"))), ("gap", minimum_gap(F.col(f"_l_{f}"))))])
 
 
-def bm25f_scores(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, terms, <field>, <field>_exact, <field>_gap): each field's score and its evidence, before names and ranks.
+def _forward(index: Index, filters: S.Filters | None = None, own: DataFrame | None = None) -> DataFrame:
+    """Forward rows of the documents that pass; with own (query_id, passes, f), passes numbers the filters that each passes."""
+    rows = index.forward.filter(Q.predicate(filters)) if filters is not None and filters.active else index.forward
+    if own is not None:
+        kinds = own.select("passes", "f").distinct().agg(F.collect_list(F.struct("passes", "f.*")).alias("_filters"))
+        passed = F.filter("_filters", lambda f: Q.row_predicate({k: f[k] for k in Q.FILTERS}))
+        rows = rows.crossJoin(F.broadcast(kinds)).withColumn("passes", F.transform(passed, lambda f: f["passes"])).drop("_filters").filter(F.size("passes") > 0)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    return rows
+
+
+def _numbered(filters_by_query: DataFrame | None) -> DataFrame | None:
+    """(query_id, passes, f): equal filters under one number."""
+    if filters_by_query is None:
+        return None
+    held = filters_by_query.select("query_id", F.struct(*Q.FILTERS).alias("f"))
+    return scratch(held.withColumn("passes", (F.dense_rank().over(Window.orderBy("f")) - 1).cast("int")), "query-filters")  # a row a query
+
+
+def _scanned(index: Index, asked: Asked, model: str, params: S.Bm25f | None = None, weights: dict[str, float] | None = None, filters: S.Filters | None = None, filters_by_query: DataFrame | None = None, marks: bool = True) -> DataFrame:
+    """(query_id, doc_id, ord, <field>, _w0, ...) of a batch of queries, scored where the documents lie."""
+    own, handed = _numbered(filters_by_query), ("doc_id", "ord")
+    plan = asked.plan(index.n, model, own)
+    run = scan.bm25f(plan, params, index.averages(), handed, marks) if model == "bm25f" else scan.tfidf(plan, weights, handed, marks)
+    schema = ["query_id string", "doc_id string", "ord long", *[f"{f} double" for f in S.FIELDS], *([f"_w{k} long" for k in range(asked.words)] if marks else [])]
+    rows = _forward(index, filters, own)
+    keep = ["doc_id", "ord", *[f"norm_{c}" for c in S.CHANNELS], *S.FIELDS, *(["passes"] if own is not None else [])]
+    return rows.select(*keep).mapInArrow(run, ", ".join(schema))
+
+
+def _terms_named(rows: DataFrame, asked: Asked) -> DataFrame:
+    """Scanned rows with their matched terms."""
+    return rows.join(asked.lists(), "query_id").withColumn("terms", asked.held())
+
+
+def found(index: Index, processed: DataFrame) -> DataFrame:
+    """(query_id, doc_id, doc_categories, doc_difficulty, doc_cooking_method) of all documents that match, without scores."""
+    asked = Asked(index, processed)
+    columns = {"doc_id": "string", "doc_categories": "array<string>", "doc_difficulty": "string", "doc_cooking_method": "string"}
+    if asked.scanned:
+        rows = _forward(index).select(*columns, *S.FIELDS)
+        return rows.mapInArrow(scan.matches(asked.plan(index.n, "bm25f"), tuple(columns)), ", ".join(["query_id string", *(f"{k} {v}" for k, v in columns.items())]))
+    hits = asked.hits(index.postings, None).select("query_id", "doc_id").distinct()
+    return hits.join(index.forward.select(*columns), "doc_id").select("query_id", *columns)
+
+
+def bm25f_scores(index: Index, asked: Asked, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None) -> DataFrame:
+    """By lookups in the postings: (query_id, doc_id, terms, <field>, <field>_exact, <field>_gap): each field's score and its evidence, before names and ranks.
 
     <field> is null where the field holds no term; exact and gap where it does not hold every original term of two or more.
     Postings are summed where they lie and without positions; only documents with a field that holds all of a query's
     terms are looked up again with them.
     """
-    asked = Asked(index, processed)
-    hits = asked.hits(index.postings.select("channel", "term", "doc_id", *[f"{f}_{x}" for f in S.FIELDS for x in ("tf", "len")]), allowed)
+    hits = asked.hits(index.postings, allowed)
     hits = hits.withColumns({f"_p_{f}": p for f, p in _parts(index, params).items()})
     hits = hits.withColumn("_ctf", reduce(add, [F.coalesce(F.col(f"_p_{f}"), F.lit(0.0)) for f in S.FIELDS]))
     # the term's score is shared out to the fields by their parts of its combined frequency
@@ -131,31 +194,47 @@ def bonus(f: str, params: S.Bm25f) -> Column:
 
 def phrase_evidence(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, field, exact, gap, bonus) wherever a field holds every original term."""
-    rows = bm25f_scores(index, processed.filter(F.size("terms") >= 2), params, allowed)
+    asked = Asked(index, processed.filter(F.size("terms") >= 2))
+    if asked.scanned:
+        rows = _forward(index)
+        rows = rows if allowed is None else rows.join(allowed, "doc_id", "left_semi")
+        got = rows.select("doc_id", *S.FIELDS).mapInArrow(scan.evidence(asked.plan(index.n, "bm25f")), "query_id string, doc_id string, field string, exact int, gap int")
+        weight = F.coalesce(*[F.when(F.col("field") == f, params.weights.get(f, 1.0)) for f in S.FIELDS])
+        return got.withColumn("bonus", params.phrase * F.col("exact") * weight + params.proximity * weight / (F.col("gap") + 1))
+    rows = bm25f_scores(index, asked, params, allowed)
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_exact").alias("exact"), F.col(f"{f}_gap").alias("gap"), bonus(f, params).alias("bonus")) for f in S.FIELDS])
     return rows.select("query_id", "doc_id", F.inline(F.filter(each, lambda x: x["exact"].isNotNull())))
 
 
+def total() -> Column:
+    """The score of a row with a score or null by field."""
+    return reduce(add, [F.coalesce(F.col(f), F.lit(0.0)) for f in S.FIELDS])
+
+
 def _explained(rows: DataFrame) -> DataFrame:
     """Rows with a score or null by field: adds score, field_scores, matched_terms and matched_fields."""
     each = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in sorted(S.FIELDS)]), lambda x: x["value"].isNotNull())
-    score = reduce(add, [F.coalesce(F.col(f), F.lit(0.0)) for f in S.FIELDS])
-    return rows.select("query_id", "doc_id", score.alias("score"), F.map_from_entries(each).alias("field_scores"), F.col("terms").alias("matched_terms"), F.transform(each, lambda x: x["key"]).alias("matched_fields"))
+    return rows.select("query_id", "doc_id", *[c for c in ("ord", "rank") if c in rows.columns], total().alias("score"), F.map_from_entries(each).alias("field_scores"), F.col("terms").alias("matched_terms"), F.transform(each, lambda x: x["key"]).alias("matched_fields"))
 
 
 def scored_bm25f(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), filters: S.Filters | None = None) -> DataFrame:
     """All documents that match, with field scores that add up to the score; not ranked."""
-    rows = bm25f_scores(index, processed, params, Q.filter_documents(index.documents, filters))
+    asked = Asked(index, processed)
+    if asked.scanned:
+        return _explained(_terms_named(_scanned(index, asked, "bm25f", params, filters=filters), asked)).drop("ord")
+    rows = bm25f_scores(index, asked, params, Q.filter_documents(index.documents, filters))
     return _explained(rows.withColumns({f: F.col(f) + bonus(f, params) for f in S.FIELDS}))
 
 
 def scored_tfidf(index: Index, processed: DataFrame, weights: dict[str, float] = S.TFIDF_WEIGHTS, filters: S.Filters | None = None) -> DataFrame:
     """TF-IDF with field weights on the documents' side and unweighted document norms; not ranked."""
     asked = Asked(index, processed)
+    if asked.scanned:
+        return _explained(_terms_named(_scanned(index, asked, "tfidf", weights=weights, filters=filters), asked)).drop("ord")
     idf = idf_tfidf(index.n)
     terms = asked.stats.withColumn("idf", idf).withColumn("qw", H.log_term_frequency(F.col("qtf")) * F.col("idf") * F.col("boost"))
     terms = terms.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
-    hits = asked.hits(index.postings.select("channel", "term", "doc_id", *[f"{f}_tf" for f in S.FIELDS]), Q.filter_documents(index.documents, filters), terms)
+    hits = asked.hits(index.postings, Q.filter_documents(index.documents, filters), terms)
     unit = F.col("qw") * F.col("idf") / F.col("qnorm")
     each = {f: F.when(F.col(f"{f}_tf").isNotNull(), weights.get(f, 1.0) * unit * H.log_term_frequency(F.col(f"{f}_tf"))) for f in S.FIELDS}
     summed = hits.groupBy("query_id", "channel", "doc_id").agg(*[F.sum(c).alias(f) for f, c in each.items()], *[c.alias(k) for k, c in asked.marks().items()])
@@ -182,6 +261,31 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", rank).select("query_id", "rank", "doc_id", "title", "score", "field_scores", "matched_terms", "matched_fields")
 
 
+def _ranked_scan(index: Index, asked: Asked, model: str, filters: S.Filters | None, filters_by_query: DataFrame | None, marks: bool, **how: object) -> DataFrame:
+    """Scanned rows with each query's rank; ties are broken by ord, which stands for title and doc_id."""
+    rows = _scanned(index, asked, model, filters=filters, filters_by_query=filters_by_query, marks=marks, **how).withColumn("score", total())
+    rows = rows if marks else rows.select("query_id", "doc_id", "ord", "score")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord")))
+
+
+def ranks(index: Index, processed: DataFrame, model: str, filters_by_query: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score) of all documents that match: what evaluation and pools need, and no more."""
+    asked = Asked(index, processed)
+    if asked.scanned:
+        how = {"params": S.Bm25f()} if model == "bm25f" else {"weights": S.TFIDF_WEIGHTS}
+        return _ranked_scan(index, asked, model, None, filters_by_query, False, **how).select("query_id", "rank", "doc_id", "score")
+    return (bm25f if model == "bm25f" else tfidf)(index, processed, filters_by_query=filters_by_query).select("query_id", "rank", "doc_id", "score")
+
+
+def explained_ranks(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f()) -> DataFrame:
+    """bm25f without titles: (query_id, rank, doc_id, score, field_scores, matched_terms, matched_fields)."""
+    asked = Asked(index, processed)
+    if not asked.scanned:
+        return bm25f(index, processed, params).drop("title")
+    # only rows that are kept get their terms' names
+    return _explained(_terms_named(_ranked_scan(index, asked, "bm25f", None, None, True, params=params), asked)).drop("ord")
+
+
 def bm25f(index: Index, processed: DataFrame, params: S.Bm25f = S.Bm25f(), filters: S.Filters | None = None, filters_by_query: DataFrame | None = None) -> DataFrame:
     """All documents that match, ranked for each query."""
     return ranked(named(scored_bm25f(index, processed, params, filters), index, filters_by_query))

@@ -88,7 +88,7 @@ class Engine:
     def __init__(self, index: X.Index, params: S.Bm25f = S.Bm25f()):
         self.index, self.params = index, params
         if index.n <= self.CACHED_DOCS:
-            for t in (index.documents, index.postings, index.term_stats, index.doc_norms):
+            for t in (index.documents, index.postings, index.forward, index.term_stats):
                 t.persist()
 
     def health(self) -> dict:

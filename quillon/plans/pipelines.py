@@ -33,8 +33,8 @@ def build_index(spark: SparkSession, raw: str, processed: str, index: str, repor
     docs, counts = I.ingest(files.read_lines(spark, raw))
     I.with_keys(docs.drop("ord")).write.mode("overwrite").parquet(processed)
     docs = spark.read.parquet(processed)
-    tokens = scratch(I.tokenized(docs, segmenter=segmenter), "build-tokens")
-    X.build(docs, tokens, "custom" if segmenter else "basic", segmenter).save(index)
+    tokens = scratch(I.streams(docs, segmenter), "build-tokens")
+    X.build(docs, tokens, "custom" if segmenter else "basic", segmenter, index)
     built = X.load(spark, index, segmenter)
     out = {"processing": counts.first().asDict(), "index": X.statistics(built).first().asDict(), "profile": C.profile(docs), "word_segmentation": segmenter is not None}
     if report:
@@ -46,8 +46,7 @@ def rank_model(index: X.Index, queries: DataFrame, model: str) -> DataFrame:
     """(query_id, rank, doc_id, score) of all queries, each under its own filters where the table has them."""
     own = Q.query_filters(queries) if "filters" in queries.columns else None
     asked = Q.process(queries.select("query_id", "text"), Q.EXPANSIONS if model == "bm25f" else None, segmenter=index.segmenter)
-    rank = R.bm25f if model == "bm25f" else R.tfidf
-    return rank(index, asked, filters_by_query=own).select("query_id", "rank", "doc_id", "score")
+    return R.ranks(index, asked, model, own)
 
 
 def rank_all(index: X.Index, queries: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 FIELDS = ("title", "description", "ingredients", "instructions", "categories", "cooking_method")
 CHANNELS = ("normalized", "accentless")
 LISTS = ("ingredients", "instructions", "categories")
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 
 _S, _I, _A = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
 RECIPE = T.StructType(

@@ -33,8 +33,8 @@ def append_documents(spark: SparkSession, source: str, schema: T.StructType, ind
         if seen is not None:
             docs = docs.join(seen.select("doc_id"), "doc_id", "left_anti")
         docs = scratch(I.with_keys(docs), "stream-docs")
-        tokens = scratch(I.tokenized(docs, segmenter=segmenter), "stream-tokens")
-        made = {"stream_postings": X.postings(tokens), "stream_lengths": X.field_lengths(tokens), "stream_documents": docs}
+        tokens = scratch(I.streams(docs, segmenter), "stream-tokens")
+        made = {"stream_postings": X.postings(tokens), "stream_tokens": tokens, "stream_documents": docs}
         for name, rows in made.items():
             rows.write.mode("overwrite").parquet(f"{index}/{name}/batch_id={batch_id}")
 
@@ -43,8 +43,6 @@ def append_documents(spark: SparkSession, source: str, schema: T.StructType, ind
 
 def to_index(spark: SparkSession, index: str, path: str, segmenter=None) -> X.Index:
     """The streamed batches as a saved index, statistics and norms over all of them."""
-    docs, post, lengths = (_table(spark, index, f"stream_{x}").drop("batch_id") for x in ("documents", "postings", "lengths"))
-    n = docs.count()
-    stats = scratch(X.term_stats(post), "stream-stats")
-    X.Index(docs, post, lengths, stats, X.doc_norms(post, stats, n), n, "custom" if segmenter else "basic", segmenter).save(path)
+    docs, post, tokens = (_table(spark, index, f"stream_{x}").drop("batch_id") for x in ("documents", "postings", "tokens"))
+    X.store(docs, tokens, post, path, "custom" if segmenter else "basic", segmenter)
     return X.load(spark, path, segmenter)

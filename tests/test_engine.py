@@ -396,3 +396,31 @@ def test_import_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_batches_are_scored_where_documents_lie(spark, passages, monkeypatch):
+    """A batch gives what single lookups give, and its plan moves no rows."""
+    d, _, _ = passages
+    ix = catalog.stored(spark, d)
+    asked = Q.process(catalog.asked(spark, d))
+    rows = R.bm25f_scores(ix, R.Asked(ix, asked))  # few terms are looked up
+    monkeypatch.setattr(R, "PUSHED_TERMS", 0)
+    batch = R.scored_bm25f(ix, asked)
+    scanned = R._scanned(ix, R.Asked(ix, asked), "bm25f", S.Bm25f())
+    assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
+    want = {(r.query_id, r.doc_id): [r[f] for f in S.FIELDS] for r in rows.withColumns({f: F.col(f) + R.bonus(f, S.Bm25f()) for f in S.FIELDS}).collect()}
+    got = {(r.query_id, r.doc_id): r.field_scores for r in batch.collect()}
+    assert got.keys() == want.keys()
+    for k, scores in want.items():
+        assert all((s is None and f not in got[k]) or abs(got[k][f] - s) < 1e-9 for f, s in zip(S.FIELDS, scores))
+
+
+def test_norms_of_rare_and_frequent_terms(spark, passages, monkeypatch):
+    """Terms on both sides of the bound give the norms that all terms on one side give."""
+    d, _, _ = passages
+    ix = catalog.stored(spark, d)
+    norms = lambda: {(r.channel, r.doc_id): r.norm for r in I.doc_norms(ix.postings, ix.term_stats, ix.n).collect()}
+    whole = norms()
+    monkeypatch.setattr(I, "FREQUENT_TERMS", 3)
+    some = norms()
+    assert whole.keys() == some.keys() and all(abs(whole[k] - some[k]) < 1e-9 for k in whole)
