@@ -6,9 +6,11 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import short_batches
+
 #: What counts as white space, the same set as in Python's str.split.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -127,6 +129,7 @@ def segmented(segmenter, text: str | None) -> list[str]:
 
 def tokenize_with(segmenter, norm: Column) -> Column:
     """Tokens of a custom segmenter (a Python function from normalised text to words)."""
+    short_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf("array<string>")
     def words(s: pd.Series) -> pd.Series:
@@ -159,13 +162,21 @@ def clean_text(text: Column) -> Column:
 
 
 def deduplicate_texts(values: Column) -> Column:
-    """First of each text that differs beyond case and spacing; bullets at the ends go, blanks too."""
-    cleaned = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.btrim(clean_text(v), F.lit(" -–•\t\n")))
-    keys = F.transform(composed_items(cleaned), lambda v: normalize_text(v, compose=False))
-    pairs = F.transform(F.arrays_zip(cleaned, keys), lambda p: F.struct(p["0"].alias("clean"), p["1"].alias("key")))
-    # the one-element array binds the pairs to a variable, so that they are made once and not for every element
-    first = F.transform(F.array(pairs), lambda every: F.filter(every, lambda p, i: (p["key"] != "") & (F.array_position(every["key"], p["key"]) == i + 1)))
-    return F.transform(F.get(first, F.lit(0)), lambda p: p["clean"])
+    """First of each text that differs beyond case and spacing; bullets at the ends go, blanks too. Linear in a list's length."""
+    short_batches(SparkSession.getActiveSession())
+
+    @F.pandas_udf("array<string>")
+    def once(lists: pd.Series) -> pd.Series:
+        def firsts(items) -> list[str]:
+            seen: dict[str, str] = {}
+            for x in () if items is None else items:
+                if x and (clean := " ".join(x.split()).strip(" -–•")):
+                    seen.setdefault(unicodedata.normalize("NFC", clean).lower(), clean)
+            return list(seen.values())
+
+        return lists.map(firsts)
+
+    return once(values)
 
 
 def field_text(field: str, kind: str) -> Column:

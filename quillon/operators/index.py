@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import accent_map
-from ..storage import scratch, shared_dir, small
+from ..storage import scratch, shared_dir, short_batches, small
 
-#: Documents of one Arrow batch.
-BATCH_DOCS = 512
 #: A block of documents ends with the batch in which it reaches so many tokens.
 BLOCK_TOKENS = 2_000_000
 #: Rows of one Arrow batch of posting lists.
@@ -142,13 +140,13 @@ def joined_tokens(tokens: DataFrame) -> DataFrame:
 
 def postings(tokens: DataFrame) -> DataFrame:
     """Rows of LISTS from a row a document (see ingest.tokenized and ingest.streams), made block by block without a shuffle."""
-    tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    short_batches(tokens.sparkSession)
     return joined_tokens(tokens).select("doc_id", *S.FIELDS).mapInArrow(_lists(True), LISTS)
 
 
 def counts(tokens: DataFrame) -> DataFrame:
     """Rows of COUNTS: what term_stats reads of the postings, for who needs no more."""
-    tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+    short_batches(tokens.sparkSession)
     return joined_tokens(tokens).select("doc_id", *S.FIELDS).mapInArrow(_lists(False), COUNTS)
 
 
@@ -183,7 +181,7 @@ def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wide(post: DataFrame) -> DataFrame:
     """Rows of WIDE of posting lists that have been chosen before."""
-    post.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+    short_batches(post.sparkSession)
     return post.select("channel", "term", "doc_id", "field", "tf", "len", "positions").mapInArrow(_widen, WIDE)
 
 

@@ -14,10 +14,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import scalars as H
 from ..functions import text as X
-from ..storage import scratch, small
-
-#: Documents of one Arrow batch.
-BATCH_DOCS = 512
+from ..storage import scratch, short_batches, small
 
 #: Ingredient lines that are page furniture, and openings of promotional descriptions, accent-folded (fixed values).
 ARTIFACTS = ("gram", "muong")
@@ -128,7 +125,7 @@ def streams(docs: DataFrame, segmenter=None) -> DataFrame:
     kinds = dict(docs.dtypes)
     if segmenter:
         return tokenized(docs, segmenter=segmenter).select("doc_id", *[F.array_join(f, " ").alias(f) for f in S.FIELDS])
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    short_batches(docs.sparkSession)
     raw = docs.select("doc_id", *[X.field_text(f, kinds[f]).alias(f) for f in S.FIELDS])
     return raw.mapInArrow(_cut, ", ".join(f"{c} string" for c in ("doc_id", *S.FIELDS)))
 

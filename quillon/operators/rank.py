@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalars as H
-from ..storage import scratch, small
+from ..storage import scratch, short_batches, small
 from . import query as Q
 from . import scan
-from .index import BATCH_DOCS, Index, idf_bm25, idf_tfidf, wide
+from .index import Index, idf_bm25, idf_tfidf, wide
 from .scan import BITS
 
 #: Up to so many terms of queries are looked up in the postings, whose pages without them are left out.
@@ -121,7 +121,7 @@ def _forward(index: Index, filters: S.Filters | None = None, own: DataFrame | No
         kinds = own.select("passes", "f").distinct().agg(F.collect_list(F.struct("passes", "f.*")).alias("_filters"))
         passed = F.filter("_filters", lambda f: Q.row_predicate({k: f[k] for k in Q.FILTERS}))
         rows = rows.crossJoin(F.broadcast(kinds)).withColumn("passes", F.transform(passed, lambda f: f["passes"])).drop("_filters").filter(F.size("passes") > 0)
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))  # a batch of long texts stays small
+    short_batches(rows.sparkSession)
     return rows
 
 

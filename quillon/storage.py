@@ -27,6 +27,16 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents of one Arrow batch.
+BATCH_DOCS = 512
+
+
+def short_batches(spark: SparkSession | None) -> None:
+    """From now on a Python worker of the session gets few documents at once, so that what it holds does not grow with a partition."""
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -67,6 +67,29 @@ def test_text(spark):
         X.normalize_unicode(f("x"), "NFX")
 
 
+def test_long_lists_are_deduplicated_in_linear_time(spark):
+    """A list of very many lines: one pass over it, not one for each line."""
+    import time
+
+    lines = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.concat(F.lit(" - Line "), (i % 40_000).cast("string"))).alias("l"))
+    began = time.time()
+    got = lines.select(X.deduplicate_texts(F.col("l")).alias("t")).first().t
+    assert len(got) == 40_000 and got[0] == "Line 0" and got[-1] == "Line 39999" and time.time() - began < 20
+    assert one(spark, X.deduplicate_texts(F.array(F.lit(None).cast("string"), F.lit("\u00a0a\u2003 b"), F.lit("A b"), F.lit("e\u0301"), F.lit("\u00c9")))) == ["a b", "e\u0301"]
+    assert one(spark, X.deduplicate_texts(F.lit(None).cast("array<string>"))) == []
+
+
+def test_python_gets_few_documents_at_once(spark):
+    from quillon.storage import BATCH_DOCS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    pages = spark.range(2_000).select(F.lit("http://a/").alias("url"), F.lit("<h1>x</h1>").alias("html"))
+    for make in (lambda: E.extract_recipes(pages), lambda: E.detail_links(pages, "a"), lambda: X.tokenize_with(str.split, F.lit("a b")), lambda: X.deduplicate_texts(F.array(F.lit("a")))):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        make()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == BATCH_DOCS
+
+
 def test_scalars(spark):
     d = {"PT1H15M": 75, "1 giờ 20 phút": 80, "30 Phút": 30, "không rõ": None, "1h30": None, "1h30p": 30, "P": 0, "45": 45, "": None, "P2DT5M": 5}
     for text, want in d.items():
